@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, quality, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,36 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe}
-SQL: dict[str, str] = {}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlrules.RULES, urlrules.RULE)
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def crc(name: str = "doc_id"):
+    return F.crc32(F.col(name).cast("string").cast("binary"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.score(docs, quality.learn(docs, labels))
+    return out.select("doc_id", (crc() % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity.learn(docs, labels))
+    return out.select("doc_id", (crc() % 3 == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_mixing": op3_mixing,
+    "op5_url_rules": op5_url_rules,
+    "op6_quality": op6_quality,
+    "op9_toxicity": op9_toxicity,
+}
+SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_url_rules": urlrules.SQL}
