@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, written
+from .common import col, fresh, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHARD_DOCS, SHARDS = 200, 100_000  # documents a shard holds at least; shards there are at most, about
@@ -126,6 +126,18 @@ def mix(
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """All columns of ``docs``, each document as many times as the mix takes it, a half up; texts without a word once.
+
+    Rows of one id are taken alike, by their sums.
+    """
+    taken = mix(docs, id_col=id_col, **options).groupBy(col(id_col).alias("_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies, times, mark = fresh(docs, "id"), fresh(docs, "times"), fresh(docs, "copy")
+    taken = taken.select(F.col("_id").alias(copies), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias(times)).where(F.col(times) > 0)
+    out = docs.join(taken, col(id_col).eqNullSafe(F.col(copies))).withColumn(mark, F.explode(F.array_repeat(F.lit(0), F.col(times))))
+    return out.select(*[col(c) for c in docs.columns])
+
+
 #: The same in DuckDB's SQL, with the default parameters.
 SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

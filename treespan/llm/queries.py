@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, toxicity, urlrules
+from . import bagminhash, bpe, collision, linededup, mixing, multiindex, quality, tokenstore, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +56,36 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc() % 3 == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.per_document(table(spark, sf_dir, "documents"))
+
+
+def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.round_trip(table(spark, sf_dir, "documents"), file_bytes("word_bpe_49k.json"), end=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_mixing": op3_mixing,
+    "op4_multi_index": op4_multi_index,
     "op5_url_rules": op5_url_rules,
     "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_collision_counting": op8_collision_counting,
     "op9_toxicity": op9_toxicity,
+    "op10_token_store": op10_token_store,
 }
 SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op5_url_rules": urlrules.SQL}
