@@ -31,10 +31,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, written
 from .words import PUNCTUATION, coded, counted, labelled, sample, slices
 
-SAMPLE = 20_000  # labelled examples at most
+SAMPLE = 12_000  # labelled examples at most
 TERMS, MIN_ROWS, MIN_G = 512, 5, 15.0
 BLOCK, NEAREST, CALIBRATION_BINS = 64, 15, 20
 
@@ -43,24 +43,35 @@ def stripped(distinct: list[str]) -> list[str]:
     return [w.strip(PUNCTUATION) for w in distinct]
 
 
-def choose(pairs: np.ndarray, words: list[str], label: np.ndarray) -> list[str]:
-    """The vocabulary: ``pairs`` are rows (example, word), each once."""
-    ones = label[pairs[:, 0]] > 0.5
-    a = np.bincount(pairs[ones, 1], minlength=len(words)).astype(float)
-    b = np.bincount(pairs[~ones, 1], minlength=len(words)).astype(float)
-    n1, n0 = float((label > 0.5).sum()), float((label <= 0.5).sum())
-    if not n1 or not n0:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Row, word and count of each distinct word of each text, and the words: stripped, none empty."""
+    codes, sizes, distinct = coded(texts)
+    number: dict[str, int] = {}
+    to = np.array([number.setdefault(w, len(number)) if w else -1 for w in stripped(distinct)] or [-1], np.int64)
+    return (*counted(to[codes] if len(codes) else codes, sizes, max(1, len(number))), list(number))
+
+
+def choose(examples: DataFrame) -> list[str]:
+    """The vocabulary: the words of ``examples`` (_id, text, _label) that tell the labels apart best."""
+    n = {r.one: r.n for r in examples.groupBy((F.col("_label") > 0.5).alias("one")).agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
         return []
 
-    def part(x, expected):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(expected, 1e-12)), 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, label = pc.fill_null(batch.column(0).cast(pa.string()), ""), np.asarray(batch.column(1)) > 0.5
+            for i, j in slices(texts):
+                row, which, _, words = words_of(texts.slice(i, j - i))
+                one = label[i:j][row]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(np.bincount(which[m], minlength=len(words)).astype(np.int64)) for m in (one, ~one))], ["word", "a", "b"])
 
-    seen = a + b
-    p = seen / (n1 + n0)
-    g = 2 * (part(a, p * n1) + part(b, p * n0) + part(n1 - a, (1 - p) * n1) + part(n0 - b, (1 - p) * n0))
-    good = [i for i in np.flatnonzero((seen >= MIN_ROWS) & (g >= MIN_G)).tolist() if words[i]]
-    good.sort(key=lambda i: (-g[i], words[i]))
-    return [words[i] for i in good[:TERMS]]
+    n1, n0 = float(n[True]), float(n[False])
+    seen = examples.select("text", "_label").mapInArrow(run, "word string, a bigint, b bigint").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    p = (F.col("a") + F.col("b")) / (n1 + n0)
+    part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+    g = 2 * (part(F.col("a"), p * n1) + part(F.col("b"), p * n0) + part(n1 - F.col("a"), (1 - p) * n1) + part(n0 - F.col("b"), (1 - p) * n0))
+    best = seen.where(F.col("a") + F.col("b") >= MIN_ROWS).select("word", g.alias("g")).where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "word").limit(TERMS)
+    return [r.word for r in best.collect()]
 
 
 @dataclass
@@ -79,11 +90,25 @@ class Examples:
     #: Answers to vectors met before, BOUNDED entries at most.
     known: dict = field(default_factory=dict)
 
-    def __post_init__(self):
-        self.number = {w: i for i, w in enumerate(self.terms)}
+    def __getstate__(self) -> dict:
+        """Sent as sparse rows: examples have few words of the vocabulary."""
+        row, term = np.nonzero(self.matrix)
+        return self.__dict__ | {"matrix": (self.matrix.shape, row.astype(np.int32), term.astype(np.int16), self.matrix[row, term]), "bounds": None, "known": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, row, term, weight = state["matrix"]
+        self.__dict__ = state | {"matrix": np.zeros(shape)}
+        self.matrix[row, term] = weight
+        self.bound()
+
+    def bound(self) -> None:
         n = -(-len(self.matrix) // BLOCK)
         self.bounds = np.stack([self.matrix[i * BLOCK : (i + 1) * BLOCK].max(axis=0) for i in range(n)]) if n else np.zeros((0, len(self.terms)))
-        if n:
+
+    def __post_init__(self):
+        self.number = {w: i for i, w in enumerate(self.terms)}
+        self.bound()
+        if len(self.matrix):
             votes = np.array([self.vote(self.matrix[i], skip=i)[0] for i in range(len(self.matrix))])
             self.edges, self.shares = calibrate(votes, self.label)
 
@@ -159,42 +184,32 @@ def calibrate(votes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int, bool] = (3, 1, False), most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Examples:
     """The examples' index, with idf over all of ``docs``."""
-    chosen = labelled(docs, sample(labels, label, most, fold, id_col), id_col, text_col)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
-            for a, b in slices(texts):
-                codes, sizes, distinct = coded(texts.slice(a, b - a))
-                row, which, count = counted(codes, sizes, max(1, len(distinct)))
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(stripped(distinct), pa.string()).take(pa.array(which)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists, pa.ListArray.from_arrays(ends, pa.array(count, pa.int32()))], ["_id", "label", "words", "counts"])
-
-    # The words of at most ``most`` examples; words met in fewer than MIN_ROWS of them stay on the executors' side of the join.
-    found = chosen.mapInArrow(words, _schema(chosen)).select("_id", "label", F.posexplode("words").alias("at", "word"), "counts").select("_id", "label", "word", F.col("counts")[F.col("at")].alias("n"))
-    found = found.groupBy("_id", "label", "word").agg(F.sum("n").alias("n"))
-    common = found.groupBy("word").agg(F.count("*").alias("rows")).where((F.col("rows") >= MIN_ROWS) & (F.col("word") != "")).select("word")
-    got = found.join(common, "word", "left_semi").toArrow()
+    chosen = written(labelled(docs, sample(labels, label, most, fold, id_col), id_col, text_col), "examples")
     every = chosen.select("_id", "_label").toArrow().sort_by("_id")
     ids, label_ = every.column("_id").to_pylist(), np.array(every.column("_label").to_pylist(), float)
-    place = {x: i for i, x in enumerate(ids)}
-    row = np.array([place[x] for x in got.column("_id").to_pylist()], np.int64)
-    coded_words = got.column("word").combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
-    if isinstance(coded_words, pa.ChunkedArray):
-        coded_words = coded_words.combine_chunks()
-    which, distinct, n = np.asarray(coded_words.indices).astype(np.int64), coded_words.dictionary.to_pylist(), np.array(got.column("n").to_pylist(), float)
-    terms = choose(np.stack([row, which], axis=1), distinct, label_) if len(row) else []
     bare_all = float(label_.mean()) if len(label_) else 0.0
+    terms = choose(chosen)
     if not terms:
         return Examples([], np.zeros(0), [], np.zeros(0), np.zeros((0, 0)), bare_all)
+    number = {w: i for i, w in enumerate(terms)}
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
+            for i, j in slices(texts):
+                row, which, n, words = words_of(texts.slice(i, j - i))
+                to = np.array([number.get(w, -1) for w in words] or [-1], np.int64)[which]
+                keep = to >= 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row[keep])), pa.array(to[keep], pa.int32()), pa.array(n[keep], pa.int64())], ["_id", "term", "n"])
+
+    kind = chosen.schema["_id"].dataType.simpleString()
+    got = chosen.select("_id", "text").mapInArrow(counts, f"_id {kind}, term int, n bigint").toArrow()  # at most ``most`` x TERMS rows
+    place = pa.array(ids)
+    row, to, n = np.asarray(pc.index_in(got.column("_id"), place)).astype(np.int64), np.asarray(got.column("term")).astype(np.int64), np.asarray(got.column("n")).astype(float)
     df, total = document_frequency(docs, terms, text_col)
     idf = np.log((1 + total) / (1 + df)) + 1
-    number = {w: i for i, w in enumerate(terms)}
-    to = np.array([number.get(w, -1) for w in distinct], np.int64)[which]
     matrix = np.zeros((len(ids), len(terms)))
-    keep = to >= 0
-    matrix[row[keep], to[keep]] = (1 + np.log(n[keep])) * idf[to[keep]]
+    matrix[row, to] = (1 + np.log(n)) * idf[to]
     norm = np.sqrt((matrix**2).sum(axis=1))
     some = norm > 0
     bare = float(label_[~some].mean()) if (~some).any() else bare_all
@@ -204,10 +219,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     return Examples(terms, idf, [ids[i] for i in order], label_[order], matrix[order], bare)
 
 
-def _schema(chosen: DataFrame) -> str:
-    return f"_id {chosen.schema['_id'].dataType.simpleString()}, label double, words array<string>, counts array<int>"
-
-
 def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents; each slice of a task sends one row of len(terms) counts."""
     number = {w: i for i, w in enumerate(terms)}
