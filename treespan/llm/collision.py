@@ -7,8 +7,8 @@ is opened in each sorted array and widened by the same factor in all (virtual re
 is built again); rows in a window collide with the query there. Once at least ``share`` of the
 block's rows have collided THRESHOLD of the times, those rows are verified: exact inner products
 in double precision of the original vectors, the largest kept. ``share`` and THRESHOLD are set so
-that recall against brute force is over 0.95 (see the README); blocks of up to ``k`` / ``share``
-rows are verified whole.
+that recall against brute force is over 0.95 (see the README); blocks of up to
+LEAST rows are verified whole.
 
 The queries are dealt into chunks and the rows into blocks, both bounded; each pair of them is one
 task's group and gives at most ``k`` rows a query.
@@ -29,40 +29,51 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import matrix, taking_part
 
-PROJECTIONS, THRESHOLD, SHARE, WIDEN = 64, 0.6, 0.45, 1.25
+PROJECTIONS, THRESHOLD, SHARE, WIDEN = 64, 0.6, 0.35, 1.25
+LEAST = 400  # rows verified of a block at least
 BLOCK, CHUNK = 8_192, 1_024
 
 
-def candidates(sorted_: np.ndarray, order: np.ndarray, at: np.ndarray, need: int, widen: float = WIDEN) -> np.ndarray:
-    """Rows that collide often enough with a query whose projections are ``at``."""
-    m, n = sorted_.shape
-    count = np.zeros(n, np.int32)
-    lo = hi = np.array([np.searchsorted(sorted_[j], at[j]) for j in range(m)])
-    lo, hi = lo.copy(), hi.copy()
-    width = (sorted_[:, -1] - sorted_[:, 0]).mean() / 8
-    if width <= 0:
-        return np.arange(n)
-    while True:
-        for j in range(m):
-            a = int(np.searchsorted(sorted_[j], at[j] - width))
-            b = int(np.searchsorted(sorted_[j], at[j] + width, side="right"))
-            if a < lo[j]:
-                count[order[j, a : lo[j]]] += 1
-                lo[j] = a
-            if b > hi[j]:
-                count[order[j, hi[j] : b]] += 1
-                hi[j] = b
-        found = np.flatnonzero(count >= THRESHOLD * m)
-        if len(found) >= need:
-            return found
-        width *= widen
+class Windows:
+    """The sorted arrays of a block, and the windows around a query in them."""
+
+    def __init__(self, spots: np.ndarray):
+        self.m, self.n = spots.shape
+        order = np.argsort(spots, axis=1, kind="stable")
+        self.place = np.empty(spots.shape, np.uint16)  # of each row in each sorted array; blocks have 65,536 rows at most
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(self.n, dtype=np.uint16), spots.shape), axis=1)
+        low, high = spots.min(), spots.max()
+        # One sorted array for all projections: each is moved beyond the one before.
+        self.step = 4 * max(high - low, 1e-9) + 1
+        self.low, self.high = low - self.step / 8, high + self.step / 8
+        self.lift = np.arange(self.m) * self.step
+        self.flat = (np.take_along_axis(spots, order, axis=1) + self.lift[:, None]).ravel()
+        self.first = np.arange(self.m) * self.n
+        self.width = max(high - low, 1e-9) / 16  # the next query begins below what the last one needed
+
+    def ends(self, at: np.ndarray, side: str) -> np.ndarray:
+        return np.clip(np.searchsorted(self.flat, np.clip(at, self.low, self.high) + self.lift, side=side) - self.first, 0, self.n)
+
+    def candidates(self, at: np.ndarray, need: int) -> np.ndarray:
+        """Rows that collide often enough with a query whose projections are ``at``."""
+        width = self.width / WIDEN
+        while True:
+            a, b = self.ends(at - width, "left"), self.ends(at + width, "right")
+            # A row is in a window if its place is; places before it wrap round to large numbers.
+            inside = (self.place - a.astype(np.uint16)[:, None]) < (b - a).clip(max=65_535).astype(np.uint16)[:, None]
+            count = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+            found = np.flatnonzero(count >= THRESHOLD * self.m)
+            if len(found) >= need:
+                self.width = width
+                return found
+            width *= WIDEN
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, share: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, row ids and scores of the best ``k`` rows of the block for each query."""
     n = len(ids)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    need = max(k + 1, int(np.ceil(share * n)))
+    need = max(LEAST, k + 1, int(np.ceil(share * n)))
     if need < n:
         norm = (x * x).sum(axis=1)
         wide = np.hstack([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]])
@@ -70,15 +81,15 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
         spots, at = axes @ wide.T, q @ axes[:, :-1].T
         # A query's length doesn't change the order of its inner products; at the rows' length its windows are centred best.
         at *= (np.sqrt(norm.max()) / np.sqrt((q * q).sum(axis=1)))[:, None]
-        order = np.argsort(spots, axis=1, kind="stable")
-        sorted_ = np.take_along_axis(spots, order, axis=1)
+        windows = Windows(spots)
     for i in range(len(qids)):
-        rows = candidates(sorted_, order, at[i], need) if need < n else np.arange(n)
+        rows = windows.candidates(at[i], need) if need < n else np.arange(n)
         rows = rows[ids[rows] != qids[i]]
-        score = (x[rows] * q[i]).sum(axis=1)  # row by row alike, so equal vectors tie
+        score = x[rows] @ q[i]
         if len(rows) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[score >= least], score[score >= least]
+            rows = rows[score >= least - 1e-9 * (1 + abs(least))]
+        score = (x[rows] * q[i]).sum(axis=1)  # row by row alike, so equal vectors tie
         top = np.lexsort((ids[rows], -score))[:k]
         out.append((np.full(len(top), qids[i]), ids[rows][top], score[top]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))

@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,7 +43,7 @@ from .common import col, new_path, written
 MAGIC, NULL_ID = b"TSTOK1\0", -(2**63)
 SAMPLE, DICTIONARY = 2_000, 64 << 10  # documents the dictionary is trained on at most; its bytes
 SHARD_BYTES = 128 << 20
-SLICE, CHUNKS = 16 << 20, 20_000  # text held as words, words given to the tokenizer at a time
+SLICE, CHUNKS, KNOWN = 8 << 20, 2_000, 300_000  # text held as words, and words given to the tokenizer, at a time; words kept
 
 
 @functools.lru_cache(maxsize=2)
@@ -70,21 +71,65 @@ def encoded(texts: pa.Array, tokenizer: bytes, end: int) -> tuple[np.ndarray, np
     sizes = np.diff(np.asarray(parts.offsets)).astype(np.int64)
     flat = parts.flatten().dictionary_encode()
     codes, distinct = np.asarray(flat.indices).astype(np.int64), flat.dictionary.to_pylist()
-    ids: list[int] = []
-    lens = np.zeros(len(distinct) + 1, np.int64)
-    for a in range(0, len(distinct), CHUNKS):
-        for i, e in enumerate(own.encode_batch_fast(distinct[a : a + CHUNKS], add_special_tokens=False)):
-            got = e.ids
-            lens[a + i] = len(got)
-            ids += got
-    ids.append(end)
-    lens[-1] = 1
+    # A piece of Latin letters and closing marks is two words for the tokenizer, the first in lower case.
+    number: dict[str, int] = {}
+    put, head, tail = number.setdefault, np.empty(len(distinct) + 1, np.int64), np.full(len(distinct) + 1, -1, np.int64)
+    for i, piece in enumerate(distinct):
+        if m := _SIMPLE.fullmatch(piece):
+            head[i] = put(m[1].lower(), len(number))
+            if m[2]:
+                tail[i] = put(m[2], len(number))
+        else:
+            head[i] = put(piece, len(number))
+    words = _word_ids(own, tokenizer, list(number))
+    lens = np.array([len(w) // 4 for w in words] + [1, 0], np.int64)  # then the end id, and nothing
+    ids = np.concatenate([np.frombuffer(b"".join(words), np.uint32), np.array([end], np.uint32)])
     starts = np.cumsum(lens) - lens
+    head[-1], tail[tail < 0] = len(words), len(words) + 1
     order = np.full(len(codes) + len(sizes), len(distinct), np.int64)  # the last piece of each text is the end id
     order[ragged((np.cumsum(sizes) - sizes) + np.arange(len(sizes)), sizes)] = codes
-    picked = lens[order]
-    ends = np.concatenate([[0], np.cumsum(picked)])[np.cumsum(sizes + 1)] if len(sizes) else np.zeros(0, np.int64)
-    return np.array(ids, np.uint32)[ragged(starts[order], picked)], ends
+    both = np.stack([head[order], tail[order]], axis=1).ravel()
+    picked = lens[both]
+    ends = np.concatenate([[0], np.cumsum(picked)])[2 * np.cumsum(sizes + 1)] if len(sizes) else np.zeros(0, np.int64)
+    return ids[ragged(starts[both], picked)], ends
+
+
+@functools.lru_cache(maxsize=2)
+def _final(tokenizer: bytes) -> np.ndarray:
+    """Which ids end a word: of words of letters, one after another, each has one such id, its last."""
+    own = _tokenizer(tokenizer)
+    out = np.zeros(own.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in own.get_vocab(with_added_tokens=False).items():
+        out[i] = token.endswith("</w>")
+    return out
+
+
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
+_known: dict[bytes, dict[str, bytes]] = {}
+
+
+def _word_ids(own, tokenizer: bytes, words: list[str]) -> list[bytes]:
+    """The ids of each word as 32-bit numbers; a worker keeps those of up to KNOWN words between batches."""
+    known = _known.setdefault(hashlib.sha1(tokenizer).digest(), {})
+    if len(known) > KNOWN:
+        known.clear()
+    new = [w for w in words if w not in known]
+    extra: dict[str, bytes] = {}
+    letters = [w for w in new if len(w) <= 64 and _SIMPLE.fullmatch(w) and w[-1].isalpha()]
+    final = _final(tokenizer)
+    for a in range(0, len(letters), CHUNKS):
+        some = letters[a : a + CHUNKS]
+        ids = np.array(own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(final[ids]) + 1
+        if len(ends) == len(some):
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known.update((w, data[x:y]) for w, x, y in zip(some, at, at[1:], strict=False))
+    new = [w for w in new if w not in known]
+    for a in range(0, len(new), CHUNKS):
+        some = new[a : a + CHUNKS]
+        for w, e in zip(some, own.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            (known if len(w) <= 64 else extra)[w] = np.array(e.ids, np.uint32).tobytes()
+    return [extra[w] if w in extra else known[w] for w in words]
 
 
 def _trained(docs: DataFrame, tokenizer: bytes, end: int, width: int) -> bytes:
@@ -98,7 +143,8 @@ def _trained(docs: DataFrame, tokenizer: bytes, end: int, width: int) -> bytes:
                 raw = [x.astype(f"<u{width}").tobytes() for x in np.split(ids, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array([x[: 128 << 10] for x in raw], pa.binary())], ["ids"])
 
-    some = docs.where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.coalesce("text", F.lit("")).alias("text"))
+    chosen = docs.where("id IS NOT NULL").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    some = docs.join(F.broadcast(chosen), "id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     samples = sorted(x for x in some.mapInArrow(run, "ids binary").toArrow().column(0).to_pylist() if x)
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 16 else b""
