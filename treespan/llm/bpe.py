@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import col
+from .common import col, small_batches
 
 NONE = np.int32(2**31 - 1)
 LONG = 48  # bytes from which a word is folded with a heap instead of in a matrix
-SLICE_BYTES = 32 << 20  # text that is held as words at a time
+SLICE_BYTES = 4 << 20  # text that is held as words at a time
 _SPACES = r"\t\n\x{0b}\x{0c}\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts in which a space touches other white space or an end: they aren't cut at their spaces.
 _UNEVEN = rf"(^|[{_SPACES}]) | ([{_SPACES}]|$)"
@@ -242,6 +242,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", te
     """
     source = df.select(col(id_col), col(text_col).cast("string").alias("text"))
     kind = source.schema[0].dataType.simpleString()
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, about 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +260,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", te
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids") -> DataFrame:
     """All columns of ``df`` and ``decoded`` binary: the concatenated pieces of ``ids_col``; null if the ids are null or one is unknown."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(ids_col)
 

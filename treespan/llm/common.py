@@ -36,6 +36,14 @@ def written(df: DataFrame, kind: str = "table", compression: str = "zstd") -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets Arrow batches hold about ``most`` bytes, a row at least: Python workers' memory then
+    doesn't follow the length of the texts. A smaller limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
+        spark.conf.set(key, str(most))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, in any letter case."""
     taken = {c.lower() for c in df.columns}
