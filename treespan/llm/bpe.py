@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import col, small_batches
+from .common import col, map_arrow, small_batches
 
 NONE = np.int32(2**31 - 1)
 LONG = 48  # bytes from which a word is folded with a heap instead of in a matrix
@@ -269,4 +269,4 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids_col: str = "ids") -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, own.decode(batch.column(at))], [*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return map_arrow(df, run, T.StructType([T.StructField("decoded", T.BinaryType())]))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: list[tuple[SparkSession, str]] = []
 
@@ -58,6 +60,18 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_arrow(df: DataFrame, run, added: T.StructType | None = None) -> DataFrame:
+    """``df.mapInArrow(run, ...)`` for batches of all columns, whatever their names, and ``added`` ones after them."""
+    fields = [*df.schema.fields, *(added.fields if added else [])]
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+
+    def renamed(batches):
+        for out in run(batches):
+            yield pa.RecordBatch.from_arrays(out.columns, [f"c{i}" for i in range(out.num_columns)])
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*[f.name for f in fields])
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import col
+from .common import col, small_batches
 from .words import coded, counted, labelled, sample, slices
 
 BUCKETS, FACTORS, BINS = 1 << 15, 4, 16
@@ -141,6 +141,7 @@ FEATURES = "_id string, label double, which array<int>, value array<float>, stat
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[int, int, bool] = (5, 0, False), most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """The machine of a bounded sample of the labelled rows outside the held-out fold."""
+    small_batches(docs.sparkSession)
     rows = labelled(docs, sample(labels, label, most, fold, id_col), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tupl
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` of each document, 0 to 1."""
+    small_batches(docs.sparkSession)
     source = docs.select(col(id_col), col(text_col).cast("string").alias("_text"))
     shared = source.sparkSession.sparkContext.broadcast(machine)  # BUCKETS * (FACTORS + 1) numbers
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import ragged, slices
-from .common import col, new_path, written
+from .common import col, new_path, small_batches, written
 
 MAGIC, NULL_ID = b"TSTOK1\0", -(2**63)
 SAMPLE, DICTIONARY = 2_000, 64 << 10  # documents the dictionary is trained on at most; its bytes
@@ -159,6 +159,7 @@ def _fs(path: str):
 def write(docs: DataFrame, path: str, tokenizer: bytes, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes a store at ``path`` (a URI that all executors reach) and returns its manifest: shard, file, docs, tokens."""
     spark = docs.sparkSession
+    small_batches(spark)
     width = id_width(tokenizer)
     source = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     dictionary = _trained(source, tokenizer, end, width)

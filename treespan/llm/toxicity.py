@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, written
+from .common import col, map_arrow, small_batches, written
 from .words import PUNCTUATION, coded, counted, labelled, sample, slices
 
 SAMPLE = 12_000  # labelled examples at most
@@ -184,6 +184,7 @@ def calibrate(votes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int, bool] = (3, 1, False), most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Examples:
     """The examples' index, with idf over all of ``docs``."""
+    small_batches(docs.sparkSession)
     chosen = written(labelled(docs, sample(labels, label, most, fold, id_col), id_col, text_col), "examples")
     every = chosen.select("_id", "_label").toArrow().sort_by("_id")
     ids, label_ = every.column("_id").to_pylist(), np.array(every.column("_label").to_pylist(), float)
@@ -241,6 +242,7 @@ def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text"
 
 def score(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1) and ``evidence`` (ids of the nearest examples, nearest first)."""
+    small_batches(docs.sparkSession)
     source = docs.select(col(id_col), col(text_col).cast("string").alias("_text"))
     shared = source.sparkSession.sparkContext.broadcast(examples)  # at most SAMPLE x TERMS numbers
     kind = source.schema[0].dataType.simpleString()
@@ -260,6 +262,7 @@ def score(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col:
 
 def keep_clean(docs: DataFrame, examples: Examples, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """All columns of the documents whose score is below ``threshold``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(examples)
     at = docs.columns.index(text_col)
 
@@ -270,4 +273,4 @@ def keep_clean(docs: DataFrame, examples: Examples, threshold: float = 0.7, text
                 keep = shared.value.score(texts.slice(a, b - a))[0] < threshold
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run)
