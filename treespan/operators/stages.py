@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..model import NODE_FIELDS, SEGMENTS, SegmentError, nested
 
-ANY = object()
+ANY = ...  # an edge that takes every node; a singleton that pickling keeps
 Label = Union[str, None, Callable]
 
 

@@ -307,6 +307,10 @@ def find_all(path: str, segments: DataFrame, contexts: DataFrame | None = None,
     return compile_path(path, values, predicates).find_all(segments, contexts, docs, ordered)
 
 
+def _indexed(step: Step) -> bool:
+    return any(t.kind == "index" for t in _tests(step.where))
+
+
 def _exists(node: object):
     if isinstance(node, Exists):
         yield node
@@ -343,12 +347,13 @@ class Compiler:
 
     def steps(self, path: Path, now: DataFrame, ordered: bool) -> DataFrame:
         for i, step in enumerate(path.steps):
-            later = ordered or any(s.axis in (".", "><") for s in path.steps[i + 1 :])
+            # An index counts within a context, so contexts are told apart from here on.
+            later = ordered or any(s.axis in (".", "><") or _indexed(s) for s in path.steps[i + 1 :])
             now = self.step(step, now, later)
         return now
 
     def step(self, step: Step, now: DataFrame, later: bool) -> DataFrame:
-        wants_index = any(t.kind == "index" for t in _tests(step.where))
+        wants_index = _indexed(step)
         whole_stream = step.axis in (".", "><")
         ranked = later or wants_index or whole_stream
         if step.axis == ".":
