@@ -10,8 +10,9 @@ less with the substrings at the places that leave few enough edits on both sides
 Equal lines are collapsed, map side first, before any key is made. A key's rows are joined only
 where counts of eight letters allow ``tau`` edits (an edit changes two counts at most), a
 condition inside the join, so a segment that many lines share makes no rows of unlike lines.
-Survivors are verified by a banded bit-parallel edit distance (Hyyro's band of 2 tau + 2 bits in
-one long) folded over the characters. All of it is DataFrame expressions.
+Survivors lose their common prefix and suffix, found by halving, and what differs is verified by a
+banded bit-parallel edit distance (Hyyro's band of 2 tau + 2 bits in one long) folded over its
+characters. All of it is DataFrame expressions.
 
 Defined results: null text has no lines and stays null; an empty text, and shorter lines, stay as
 they are; a line repeated within a document is removed after its first place; rows of one id are
@@ -106,11 +107,30 @@ def within(a: str, b: str, tau: int) -> Column:
         d = F.when(past < 0, s["d"] + 1 - F.shiftright(d0, w - 1)).otherwise(s["d"] + bit(hp) - bit(hn))
         return F.struct(hn.bitwiseOR(inv(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), d.alias("d"))
 
-    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  evaluates value once
     start = F.struct(lit(ones << (w - tau - 1) & ones).alias("vp"), lit(0).alias("vn"), lit(tau).alias("d"))
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, lambda s, i: once(once(step(s, i), advance), settle), lambda s: s["d"] <= tau)
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def common(x: Column, y: Column) -> Column:
+    """Length of the common prefix, by adding powers of two from the largest on."""
+    n = F.least(F.length(x), F.length(y))
+    powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k.cast("double")).cast("int"))
+    more = lambda a, p: (a + p <= n) & (F.substring(x, a + 1, p) == F.substring(y, a + 1, p))
+    return F.aggregate(powers, F.lit(0), lambda a, p: F.when(more(a, p), a + p).otherwise(a))
+
+
+def middles(x: Column, y: Column) -> Column:
+    """What differs: the strings without their common prefix and the common suffix of the rest, as a struct (x, y); their distance is the same."""
+    rest = lambda s, p: F.struct(F.reverse(F.substring(s["x"], p + 1, F.length(s["x"]))).alias("x"), F.reverse(F.substring(s["y"], p + 1, F.length(s["y"]))).alias("y"))
+    cut = lambda s: once(common(s["x"], s["y"]), lambda p: rest(s, p))
+    return once(once(F.struct(x.alias("x"), y.alias("y")), cut), cut)
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``pos``, ``line``, ``h1``, ``h2`` of the lines that count."""
     out = docs.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), F.posexplode(F.split(col(text_col).cast("string"), "\n")).alias("pos", "line"))
@@ -132,7 +152,13 @@ def linked(docs: DataFrame, distinct: DataFrame, tau: int, id_col: str, text_col
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
     swap = F.length("x") > F.length("y")
     both = both.where(F.abs(F.length("x") - F.length("y")) <= tau)
-    both = both.select("a", "b", F.split(F.when(swap, F.col("y")).otherwise(F.col("x")), "").alias("_a"), F.split(F.when(swap, F.col("x")).otherwise(F.col("y")), "").alias("_b"))
+    both = both.select("a", "b", middles(F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))).alias("m"))
+    # Both ends of what differs differ, so a middle of two characters or more takes two edits at least.
+    # The middles are a table: folded into the filter below they would be cut again at every step.
+    both = written(both.select("a", "b", "m.x", "m.y").where(F.length("y") <= 1) if tau == 1 else both.select("a", "b", "m.x", "m.y"), "middles")
+    short = F.length("x") <= tau  # the fold's band takes longer strings; a short x is padded alike on both sides
+    pad = F.when(short, F.repeat(F.lit("\x00"), tau + 1)).otherwise("")
+    both = both.select("a", "b", F.split(F.concat(pad, "x"), "").alias("_a"), F.split(F.concat(pad, "y"), "").alias("_b"))
     return both.where(within("_a", "_b", tau)).select("a", "b")
 
 
