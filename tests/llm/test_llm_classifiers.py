@@ -62,6 +62,14 @@ def test_toxicity_on_held_out_rows(frame, labelled):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_texts_without_a_known_word(frame, labelled):
+    texts, _, table = labelled
+    own = toxicity.learn(frame(texts), table)
+    for some in ([], [""], ["qqqq vvvv", "", "rrrr"]):
+        scores, evidence = own.score(pa.array(some, pa.string()))
+        assert scores.tolist() == [own.bare] * len(some) and evidence == [[] for _ in some]
+
+
 def test_neighbours_are_the_nearest(frame, labelled):
     texts, _, table = labelled
     docs = frame(texts)

@@ -152,6 +152,8 @@ class Examples:
         if not len(self.matrix):
             return scores, evidence
         rows, which, weight = self.vectors(texts)
+        if not len(rows):
+            return scores, evidence
         starts = np.flatnonzero(np.diff(np.concatenate([[-1], rows])))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
             key = (which[a:b].tobytes(), weight[a:b].tobytes())
