@@ -18,7 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose class stays elsewhere."""
-    return linededup.dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return linededup.dedup(docs, linededup.QUERY_TAU, chars=linededup.QUERY_CHARS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,3 +129,40 @@ def test_query(spark, sf_dir):
         own = sorted(p for d, p in gone if d == i)
         assert list(r.gone) == own and r.n_gone == len(own)
         assert list(r.first_ids) == sorted({gone[i, p][0] for p in own})
+
+
+def brute_by_length(docs, tau, chars):
+    """As ``brute``, with every non-empty line and a threshold of one edit for each ``chars`` characters of the shorter line."""
+    lines = [(i, p, x.strip(" \t\r")) for i, t in docs for p, x in enumerate(t.split("\n"))]
+    lines = sorted(x for x in lines if x[2])
+    texts = sorted({x[2] for x in lines}, key=lambda x: (len(x), x))
+    to = {x: x for x in texts}
+
+    def root(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    for n, x in enumerate(texts):
+        t = min(tau, len(x) // chars)
+        for y in texts[n + 1 :]:
+            if len(y) - len(x) > t:
+                break
+            if near(x, y, t):
+                to[root(y)] = root(x)
+    first = {}
+    for i, p, x in lines:
+        first.setdefault(root(x), (i, p))
+    return {(i, p): first[root(x)] for i, p, x in lines if (i, p) != first[root(x)]}
+
+
+def decided_by_length(df, tau, chars):
+    return {(r.id, r.pos): (r.first_id, r.first_pos) for r in linededup.decisions(df, tau, chars=chars).collect()}
+
+
+def test_short_lines_are_removed_if_equal(frame):
+    docs = list(enumerate(["Les.\nDes.\n\nx", "And ornd.\n Les. \nLes", "x\nAnd ornd.\n\nLes."]))
+    got = decided_by_length(frame([t for _, t in docs]), 1, 20)
+    assert got == {(1, 1): (0, 0), (2, 0): (0, 3), (2, 1): (1, 0), (2, 3): (0, 0)} == brute_by_length(docs, 1, 20)
+    rows = {r.doc_id: (r.n_lines, list(r.gone)) for r in linededup.per_document(frame([t for _, t in docs]), 1, chars=20).collect()}
+    assert rows == {0: (3, []), 1: (3, [1]), 2: (3, [0, 1, 3])}

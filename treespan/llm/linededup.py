@@ -1,11 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
-Lines (of MIN_CHARS characters or more, blanks at their ends left out) that are equal, or within
-``tau`` edits of each other, are one class; of a class the occurrence with the smallest (id, line
-number) stays. Two lines within ``tau`` edits share, at a place that their lengths bound, one of
-the shorter line's ``tau`` + 1 segments: each distinct line lists its segments in an index under
-(length, segment number, hash), and probes the index of every length from its own down to ``tau``
-less with the substrings at the places that leave few enough edits on both sides of the match.
+Lines that aren't empty (blanks at their ends left out) and are equal, or within t edits of each
+other, are one class; of a class the occurrence with the smallest (id, line number) stays. t is
+``tau``, or with ``chars`` one edit for each ``chars`` characters of the shorter line and ``tau`` at
+most, so lines below ``chars`` characters are one class only if equal. Two lines within t edits
+share, at a place that their lengths bound, one of the shorter line's t + 1 segments: each distinct
+line lists its segments in an index under (length, segment number, hash), and probes the index of
+every length from its own down to ``tau`` less with the substrings at the places that leave few
+enough edits on both sides of the match.
 
 Equal lines are collapsed, map side first, before any key is made. A key's rows are joined only
 where counts of eight letters allow ``tau`` edits (an edit changes two counts at most), a
@@ -14,7 +16,7 @@ Survivors lose their common prefix and suffix, found by halving, and what differ
 banded bit-parallel edit distance (Hyyro's band of 2 tau + 2 bits in one long) folded over its
 characters. All of it is DataFrame expressions.
 
-Defined results: null text has no lines and stays null; an empty text, and shorter lines, stay as
+Defined results: null text has no lines and stays null; an empty text, and empty lines, stay as
 they are; a line repeated within a document is removed after its first place; rows of one id are
 one document; rows with a null id take no part and stay; an empty table gives no rows; other
 columns are kept by ``dedup`` and ignored by ``decisions``.
@@ -28,16 +30,22 @@ from pyspark.sql import functions as F
 from .common import col, fresh, written
 from .graph import components
 
-TAU, MIN_CHARS = 1, 20
+TAU, MIN_CHARS = 1, 1
+QUERY_TAU, QUERY_CHARS = 1, 20  # of the registered query and the pipeline
 LETTERS = "eantoris"
 BROADCAST_LINES = 1_000_000  # hashes of candidate lines, 8 bytes each, up to which they are broadcast
 
 
-def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each of the ``tau`` + 1 segments of a line, the longer ones last."""
-    k = tau + 1
+def threshold(length: Column, tau: int, chars: int) -> Column:
+    """How many edits a line of ``length`` may be from a longer one."""
+    most = F.least(F.lit(tau), F.floor(length / chars).cast("int")) if chars else F.lit(tau)
+    return F.when(length > 0, most).otherwise(0)
+
+
+def segment(length: Column, i: Column, k: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of the ``k`` of a line, the longer ones last."""
     short, long_ = F.floor(length / k).cast("int"), (length % k).cast("int")
-    return [(short * i + F.greatest(long_ - (k - i), F.lit(0)), short + F.when(F.lit(i) >= k - long_, 1).otherwise(0)) for i in range(k)]
+    return short * i + F.greatest(long_ - (k - i), F.lit(0)), short + F.when(i >= k - long_, 1).otherwise(0)
 
 
 def shifts(i: int, delta: int, tau: int) -> range:
@@ -45,17 +53,22 @@ def shifts(i: int, delta: int, tau: int) -> range:
     return range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)
 
 
-def keys(line: Column, length: Column, tau: int) -> tuple[Column, Column]:
-    """The index keys and the probe keys of a line."""
-    index, probe = [], []
-    for delta in range(tau + 1):
-        short = length - delta
-        for i, (start, size) in enumerate(segments(short, tau)):
-            for s in shifts(i, delta, tau):
-                probe.append(F.xxhash64(short, F.lit(i), F.substring(line, start + s + 1, size)))
-            if not delta:
-                index.append(F.xxhash64(short, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*index), F.array(*probe)
+def keys(line: Column, length: Column, tau: int, chars: int) -> tuple[Column, Column]:
+    """The index keys and the probe keys of a line; the places are literals, by how much shorter the other line is and its threshold."""
+
+    def listed(delta: int, place) -> Column:
+        t, out = threshold(length - delta, tau, chars), F.lit(None).cast("array<struct<d:int,k:int,i:int,s:int>>")
+        for k in range(max(delta, 1), tau + 1):
+            spots = [F.struct(F.lit(delta).alias("d"), F.lit(k + 1).alias("k"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i in range(k + 1) for s in place(i, delta, k)]
+            out = F.when(t == k, F.array(*spots)).otherwise(out)
+        return F.coalesce(out, F.array().cast("array<struct<d:int,k:int,i:int,s:int>>"))
+
+    def hashed(p: Column) -> Column:
+        start, size = segment(length - p["d"], p["i"], p["k"])
+        return F.xxhash64(length - p["d"], p["i"], F.substring(line, start + p["s"] + 1, size))
+
+    probe = F.flatten(F.array(*[listed(delta, shifts) for delta in range(tau + 1)]))
+    return F.transform(listed(0, lambda i, delta, k: [0]), hashed), F.transform(probe, hashed)
 
 
 def letters(line: Column) -> Column:
@@ -76,8 +89,8 @@ def letters_apart(a: Column, b: Column) -> Column:
     return total
 
 
-def within(a: str, b: str, tau: int) -> Column:
-    """Whether the strings in columns ``a`` (not the longer) and ``b``, neither shorter than ``tau`` + 1, are within ``tau`` edits.
+def within(a: str, b: str, tau: int, most: Column | None = None) -> Column:
+    """Whether the strings in columns ``a`` (not the longer) and ``b``, neither shorter than ``tau`` + 1, are within ``tau`` edits, or ``most`` of these.
 
     Column bits of the band around the diagonal, Hyyro (2003): vp and vn are its vertical
     differences, d is the distance on the diagonal and, past its end, along the last row.
@@ -108,7 +121,7 @@ def within(a: str, b: str, tau: int) -> Column:
         return F.struct(hn.bitwiseOR(inv(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), d.alias("d"))
 
     start = F.struct(lit(ones << (w - tau - 1) & ones).alias("vp"), lit(0).alias("vn"), lit(tau).alias("d"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, lambda s, i: once(once(step(s, i), advance), settle), lambda s: s["d"] <= tau)
+    return F.aggregate(F.sequence(F.lit(0), n - 1), start, lambda s, i: once(once(step(s, i), advance), settle), lambda s: s["d"] <= (F.lit(tau) if most is None else most))
 
 
 def once(value: Column, f) -> Column:
@@ -138,38 +151,40 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
 
 
-def linked(docs: DataFrame, distinct: DataFrame, tau: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines within ``tau`` edits."""
-    index = distinct.select("h1", "letters", F.explode("index").alias("key"))
-    probe = distinct.select(F.col("h1").alias("h1_"), F.col("letters").alias("letters_"), F.explode("probe").alias("key"))
+def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
+    """Pairs (a, b) of hashes of different lines within their threshold."""
+    index, probe = keys(F.col("line"), F.col("length"), tau, chars)
+    some = distinct.where(F.col("length") >= chars)
+    # An inner explode would have the keys computed once more, in a filter on their number.
+    index = some.select("h1", "letters", F.explode_outer(index).alias("key")).where("key IS NOT NULL")
+    probe = some.select(F.col("h1").alias("h1_"), F.col("letters").alias("letters_"), F.explode_outer(probe).alias("key")).where("key IS NOT NULL")
     close = letters_apart(F.col("letters"), F.col("letters_")) <= 2 * tau
     pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("h1") != F.col("h1_")) & close)
     pairs = written(pairs.select(F.least("h1", "h1_").alias("a"), F.greatest("h1", "h1_").alias("b")).distinct(), "pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_LINES
-    texts = lines(docs, id_col, text_col).select("h1", "line").join(F.broadcast(wanted) if few else wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
+    texts = distinct.join(F.broadcast(wanted) if few else wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
     texts = written(texts, "lines")
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
     swap = F.length("x") > F.length("y")
-    both = both.where(F.abs(F.length("x") - F.length("y")) <= tau)
-    both = both.select("a", "b", middles(F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))).alias("m"))
+    t = threshold(F.least(F.length("x"), F.length("y")), tau, chars)
+    both = both.where(F.abs(F.length("x") - F.length("y")) <= t)
+    both = both.select("a", "b", t.alias("t"), middles(F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))).alias("m"))
     # Both ends of what differs differ, so a middle of two characters or more takes two edits at least.
     # The middles are a table: folded into the filter below they would be cut again at every step.
-    both = written(both.select("a", "b", "m.x", "m.y").where(F.length("y") <= 1) if tau == 1 else both.select("a", "b", "m.x", "m.y"), "middles")
+    both = written(both.select("a", "b", "t", "m.x", "m.y").where((F.col("t") > 1) | (F.length("y") <= 1)), "middles")
     short = F.length("x") <= tau  # the fold's band takes longer strings; a short x is padded alike on both sides
     pad = F.when(short, F.repeat(F.lit("\x00"), tau + 1)).otherwise("")
-    both = both.select("a", "b", F.split(F.concat(pad, "x"), "").alias("_a"), F.split(F.concat(pad, "y"), "").alias("_b"))
-    return both.where(within("_a", "_b", tau)).select("a", "b")
+    both = both.select("a", "b", "t", F.split(F.concat(pad, "x"), "").alias("_a"), F.split(F.concat(pad, "y"), "").alias("_b"))
+    return both.where(within("_a", "_b", tau, F.col("t"))).select("a", "b")
 
 
-def decisions(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decisions(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", chars: int = 0) -> DataFrame:
     """A row for each line that goes: ``id``, ``pos`` (from 0), ``first_id`` and ``first_pos`` (the occurrence that stays), ``equal`` (it is the same text)."""
     own = lines(docs, id_col, text_col)
-    length = F.length("line")
-    index, probe = keys(F.col("line"), length, tau)
-    distinct = own.select("h1", "h2", "id", "pos", letters(F.col("line")).alias("letters"), index.alias("index"), probe.alias("probe"))
-    distinct = written(distinct.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), F.first("letters").alias("letters"), F.first("index").alias("index"), F.first("probe").alias("probe")), "lines")
-    near = components(written(linked(docs, distinct, tau, id_col, text_col), "links"))
+    distinct = own.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
+    distinct = written(distinct.withColumn("length", F.length("line")).withColumn("letters", letters(F.col("line"))), "lines")
+    near = components(written(linked(distinct, tau, chars), "links"))
     near = written(near, "classes")
     some = distinct.select("h1", "h2", "first", "n").join(near.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 OR component IS NOT NULL")
     lead = some.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("lead"))
@@ -179,9 +194,9 @@ def decisions(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col:
     return out.select("id", "pos", F.col("lead.id").alias("first_id"), F.col("lead.pos").alias("first_pos"), (F.col("first") == F.col("lead")).alias("equal")).distinct()
 
 
-def dedup(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", chars: int = 0) -> DataFrame:
     """All rows and columns of ``docs``; ``text_col`` without the lines that go."""
-    gone = decisions(docs, tau, id_col, text_col).groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = decisions(docs, tau, id_col, text_col, chars).groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     # A mask of the document's lines up to the last that goes: "1" for each that does.
     mask = F.array_join(F.transform("gone", lambda p, i: F.concat(F.repeat(F.lit("0"), (p - F.when(i > 0, F.get("gone", i - 1)).otherwise(F.lit(-1)) - 1).cast("int")), F.lit("1"))), "")
     id_, flags = fresh(docs, "id"), fresh(docs, "mask")
@@ -192,9 +207,9 @@ def dedup(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str
     return out.select(*[text if c == text_col else col(c) for c in docs.columns])
 
 
-def per_document(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def per_document(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", chars: int = 0) -> DataFrame:
     """``id_col``, ``n_lines`` (that count), ``n_gone``, ``n_near`` (of those, not the same text as what stays), ``gone`` (their numbers) and ``first_ids`` (documents of the occurrences that stay)."""
-    gone = decisions(docs, tau, id_col, text_col).groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("gone"), F.count("*").alias("n_gone"), F.sum((~F.col("equal")).cast("long")).alias("n_near"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
+    gone = decisions(docs, tau, id_col, text_col, chars).groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("gone"), F.count("*").alias("n_gone"), F.sum((~F.col("equal")).cast("long")).alias("n_near"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
     long_ = F.size(F.filter(F.split(col(text_col).cast("string"), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\r"))) >= MIN_CHARS))
     all_ = docs.select(col(id_col).alias("_id"), F.coalesce(F.when(col(text_col).isNotNull(), long_), F.lit(0)).cast("long").alias("n_lines"))
     out = all_.join(gone, F.col("_id") == F.col("id"), "left")

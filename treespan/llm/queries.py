@@ -65,7 +65,7 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.per_document(table(spark, sf_dir, "documents"))
+    return linededup.per_document(table(spark, sf_dir, "documents"), linededup.QUERY_TAU, chars=linededup.QUERY_CHARS)
 
 
 def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
