@@ -166,3 +166,18 @@ def test_short_lines_are_removed_if_equal(frame):
     assert got == {(1, 1): (0, 0), (2, 0): (0, 3), (2, 1): (1, 0), (2, 3): (0, 0)} == brute_by_length(docs, 1, 20)
     rows = {r.doc_id: (r.n_lines, list(r.gone)) for r in linededup.per_document(frame([t for _, t in docs]), 1, chars=20).collect()}
     assert rows == {0: (3, []), 1: (3, [1]), 2: (3, [0, 1, 3])}
+
+
+def test_threshold_grows_with_the_length(frame):
+    docs = corpus(5) + [(60, prose(7, 40)), (61, prose(7, 40).replace("e", "é", 3)), (62, prose(7, 40)[1:-2]), (63, prose(7, 40)[4:])]
+    df = frame([t for _, t in docs])
+    want = brute_by_length(docs, linededup.QUERY_TAU, linededup.QUERY_CHARS)
+    assert {(61, 0), (62, 0)} <= set(want) and (63, 0) not in want
+    assert decided_by_length(df, linededup.QUERY_TAU, linededup.QUERY_CHARS) == want
+
+
+def test_query_by_length(spark, sf_dir):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    gone = brute_by_length(docs, linededup.QUERY_TAU, linededup.QUERY_CHARS)
+    got = {r.doc_id: list(r.gone) for r in QUERIES["op7_line_dedup"](spark, sf_dir).collect()}
+    assert got == {i: sorted(p for d, p in gone if d == i) for i, _ in docs}

@@ -31,7 +31,7 @@ from .common import col, fresh, written
 from .graph import components
 
 TAU, MIN_CHARS = 1, 1
-QUERY_TAU, QUERY_CHARS = 1, 20  # of the registered query and the pipeline
+QUERY_TAU, QUERY_CHARS = 3, 20  # one edit for each 20 characters, 3 at most: of the registered query and the pipeline
 LETTERS = "eantoris"
 BROADCAST_LINES = 1_000_000  # hashes of candidate lines, 8 bytes each, up to which they are broadcast
 
@@ -72,10 +72,10 @@ def keys(line: Column, length: Column, tau: int, chars: int) -> tuple[Column, Co
 
 
 def letters(line: Column) -> Column:
-    """Counts of LETTERS, each modulo 256, in one long."""
-    low, out = F.lower(line), F.lit(0).cast("long")
+    """Counts of LETTERS, each modulo 256, in one long; a letter is one byte."""
+    out = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        n = (F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("long")
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
     return out
 
