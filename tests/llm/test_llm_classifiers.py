@@ -166,3 +166,17 @@ def test_queries(spark, name, label, m, r):
     out = [(truth[x.doc_id], x.score) for x in got if x.held_out and x.doc_id in truth]
     y, s = map(np.array, zip(*out, strict=True))
     assert auc(y, s) > 0.85
+
+
+def test_neighbours_by_all_words(frame, spark):
+    """Words that tell no labels apart, and of few examples, are in the index and decide neighbours."""
+    texts = [f"{prose(i, 12)} rare{i // 2} rare{i // 2}" for i in range(60)] + ["rare7 unseen", "rare11"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    own = toxicity.learn(frame(texts), labels)
+    used = [i for i in range(60) if not held(i, 3, 1)]
+    assert own.terms == sorted({w for i in used for w in texts[i].split()})
+    _, evidence = own.score(pa.array(texts))
+    for i in (60, 61):
+        word = texts[i].split()[0]
+        assert sorted(evidence[i]) == [x for x in used if word in texts[x].split()] != []
+    assert np.allclose(np.bincount(own.matrix.row, own.matrix.weight**2), 1)

@@ -1,21 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Vectors: (1 + ln count) * idf over a vocabulary of at most TERMS words, those that tell the
-labels of the examples apart best (log-likelihood ratio over MIN_G, at least MIN_ROWS examples
-with the word); idf = ln((1 + N) / (1 + df)) + 1 with df and N counted over *all* documents. The
-examples are a bounded sample of the labelled rows outside the held-out fold (``most``, smallest
-hashes), which every worker holds as a block-max inverted index: examples in blocks, ordered so
-that like vectors share blocks, with the largest weight of each term in each block. A query
-visits blocks from the highest upper bound on and stops when no bound exceeds its k-th best
-cosine, so its neighbours are exact. Votes are weighted by cosine; a document's evidence is its
-neighbours.
+Vectors: (1 + ln count) * idf over all words of the examples; idf = ln((1 + N) / (1 + df)) + 1 with
+df and N counted over *all* documents. The examples are a bounded sample of the labelled rows
+outside the held-out fold (``most``, smallest hashes), so their words are bounded too; every worker
+holds them as an inverted index. Words of a query that no example has are in no product; in its
+length they would scale all its cosines alike, so neighbours and votes are the same without them.
+
+A batch of queries is scored against every example: the HEAVY commonest words by one matrix product
+in single precision, the others by their postings. Examples within ROUNDING of the k-th best are
+computed again in double precision, so the neighbours are exact. Votes are weighted by cosine; a
+document's evidence is its neighbours.
 
 Calibration: the share of label 1 among examples by their own leave-one-out vote, made monotone
-(pool adjacent violators) over bins. A document with no word of the vocabulary gets the share
-among the examples without one.
+(pool adjacent violators) over bins. A document with no word of any example gets the share among
+the examples without a word.
 
 Defined results: null text counts as empty; empty texts get the score of texts without a word of
-the vocabulary; equal cosines are taken by smaller example number; repeated rows are scored each;
+the examples; equal cosines are taken by smaller example number; repeated rows are scored each;
 without labels the score is 0 and with labels of one kind it is their share; an empty table gives no rows; other columns
 are ignored.
 """
@@ -35,8 +36,8 @@ from .common import col, map_arrow, small_batches, written
 from .words import PUNCTUATION, coded, counted, labelled, sample, slices
 
 SAMPLE = 12_000  # labelled examples at most
-TERMS, MIN_ROWS, MIN_G = 512, 5, 15.0
-BLOCK, NEAREST, CALIBRATION_BINS = 64, 15, 20
+HEAVY, BATCH, ROUNDING = 512, 64, 1e-5
+NEAREST, CALIBRATION_BINS = 15, 20
 
 
 def stripped(distinct: list[str]) -> list[str]:
@@ -51,27 +52,72 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     return (*counted(to[codes] if len(codes) else codes, sizes, max(1, len(number))), list(number))
 
 
-def choose(examples: DataFrame) -> list[str]:
-    """The vocabulary: the words of ``examples`` (_id, text, _label) that tell the labels apart best."""
-    n = {r.one: r.n for r in examples.groupBy((F.col("_label") > 0.5).alias("one")).agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
+def vocabulary(examples: DataFrame) -> list[str]:
+    """All words of ``examples`` (_id, text, _label), none if their labels are of one kind."""
+    if examples.select((F.col("_label") > 0.5).alias("one")).distinct().count() < 2:
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, label = pc.fill_null(batch.column(0).cast(pa.string()), ""), np.asarray(batch.column(1)) > 0.5
+            texts = pc.fill_null(batch.column(0).cast(pa.string()), "")
             for i, j in slices(texts):
-                row, which, _, words = words_of(texts.slice(i, j - i))
-                one = label[i:j][row]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(np.bincount(which[m], minlength=len(words)).astype(np.int64)) for m in (one, ~one))], ["word", "a", "b"])
-
-    n1, n0 = float(n[True]), float(n[False])
-    seen = examples.select("text", "_label").mapInArrow(run, "word string, a bigint, b bigint").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    p = (F.col("a") + F.col("b")) / (n1 + n0)
-    part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
-    g = 2 * (part(F.col("a"), p * n1) + part(F.col("b"), p * n0) + part(n1 - F.col("a"), (1 - p) * n1) + part(n0 - F.col("b"), (1 - p) * n0))
-    best = seen.where(F.col("a") + F.col("b") >= MIN_ROWS).select("word", g.alias("g")).where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "word").limit(TERMS)
-    return [r.word for r in best.collect()]
+                yield pa.RecordBatch.from_arrays([pa.array(words_of(texts.slice(i, j - i))[3], pa.string())], ["word"])
+
+    return sorted(examples.select("text").mapInArrow(run, "word string").distinct().toArrow().column(0).to_pylist())
+
+
+class Sparse:
+    """A matrix by rows, and its columns as postings; the heaviest columns are dense too, in single precision."""
+
+    def __init__(self, shape: tuple[int, int], row: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        order = np.lexsort((term, row))
+        self.shape, self.row, self.term, self.weight = shape, row[order].astype(np.int32), term[order].astype(np.int32), weight[order]
+        self.index()
+
+    def __getstate__(self) -> tuple:
+        return self.shape, self.row, self.term, self.weight
+
+    def __setstate__(self, state: tuple) -> None:
+        self.shape, self.row, self.term, self.weight = state
+        self.index()
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __matmul__(self, q: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.weight * q[self.term], len(self))
+
+    def index(self) -> None:
+        n, width = self.shape
+        self.rows = np.searchsorted(self.row, np.arange(n + 1))
+        size = np.bincount(self.term, minlength=width)
+        heavy = np.argsort(-size, kind="stable")[:HEAVY]
+        self.place = np.full(width, -1, np.int64)
+        self.place[heavy] = np.arange(len(heavy))
+        self.dense = np.zeros((len(heavy), n), np.float32)
+        at = self.place[self.term]
+        self.dense[at[at >= 0], self.row[at >= 0]] = self.weight[at >= 0]
+        order = np.argsort(self.term, kind="stable")
+        order = order[at[order] < 0]
+        self.post_row, self.post_weight = self.row[order], self.weight[order]
+        self.size = np.where(self.place < 0, size, 0)
+        self.start = np.cumsum(self.size) - self.size
+
+    def products(self, which: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """n queries (query, term and weight of each entry) x rows, to about ROUNDING."""
+        at = self.place[term]
+        q = np.zeros((n, len(self.dense)), np.float32)
+        q[which[at >= 0], at[at >= 0]] = weight[at >= 0]
+        size = self.size[term]
+        i = np.repeat(self.start[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        light = np.bincount(np.repeat(which, size) * len(self) + self.post_row[i], np.repeat(weight, size) * self.post_weight[i], n * len(self))
+        return q @ self.dense + light.reshape(n, len(self))
+
+    def exactly(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The products of some rows with a dense query."""
+        size = self.rows[rows + 1] - self.rows[rows]
+        i = np.repeat(self.rows[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(np.repeat(np.arange(len(rows)), size), self.weight[i] * q[self.term[i]], len(rows))
 
 
 @dataclass
@@ -82,34 +128,16 @@ class Examples:
     idf: np.ndarray
     ids: list
     label: np.ndarray
-    matrix: np.ndarray  # examples x terms, rows of length 1, blocks in order
-    bare: float  # the score without a word of the vocabulary
-    bounds: np.ndarray = field(default=None)
+    matrix: Sparse  # examples x terms, rows of length 1
+    bare: float  # the score without a word of the examples
     edges: np.ndarray = field(default=None)
     shares: np.ndarray = field(default=None)
-    #: Answers to vectors met before, BOUNDED entries at most.
-    known: dict = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        """Sent as sparse rows: examples have few words of the vocabulary."""
-        row, term = np.nonzero(self.matrix)
-        return self.__dict__ | {"matrix": (self.matrix.shape, row.astype(np.int32), term.astype(np.int16), self.matrix[row, term]), "bounds": None, "known": {}}
-
-    def __setstate__(self, state: dict) -> None:
-        shape, row, term, weight = state["matrix"]
-        self.__dict__ = state | {"matrix": np.zeros(shape)}
-        self.matrix[row, term] = weight
-        self.bound()
-
-    def bound(self) -> None:
-        n = -(-len(self.matrix) // BLOCK)
-        self.bounds = np.stack([self.matrix[i * BLOCK : (i + 1) * BLOCK].max(axis=0) for i in range(n)]) if n else np.zeros((0, len(self.terms)))
 
     def __post_init__(self):
         self.number = {w: i for i, w in enumerate(self.terms)}
-        self.bound()
         if len(self.matrix):
-            votes = np.array([self.vote(self.matrix[i], skip=i)[0] for i in range(len(self.matrix))])
+            m = self.matrix
+            votes = np.array([self.vote(i, s) for i, s in self.all_nearest(m.row.astype(np.int64), m.term, m.weight, len(m), skip=True)])
             self.edges, self.shares = calibrate(votes, self.label)
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,29 +150,34 @@ class Examples:
         norm = np.sqrt(np.bincount(rows, weight**2, len(texts)))
         return rows, which, weight / norm[rows]
 
-    def nearest(self, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the NEAREST examples with positive cosine, exactly."""
+    def all_nearest(self, rows: np.ndarray, which: np.ndarray, weight: np.ndarray, n: int, skip: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and cosines of the NEAREST examples with positive cosine, exactly, for each of n queries; with ``skip`` but the query's own number."""
+        q = np.zeros(len(self.terms))
+        for a in range(0, n, BATCH):
+            b = min(a + BATCH, n)
+            ends = np.searchsorted(rows, np.arange(a, b + 1))
+            part = slice(ends[0], ends[-1])
+            near = self.matrix.products(rows[part] - a, which[part], weight[part], b - a)
+            if skip:
+                near[np.arange(b - a), np.arange(a, b)] = -1
+            least = np.partition(near, len(self.matrix) - NEAREST, axis=1)[:, -NEAREST] if len(self.matrix) > NEAREST else np.zeros(b - a)
+            for k in range(b - a):
+                own = slice(ends[k], ends[k + 1])
+                i = np.flatnonzero(near[k] >= max(least[k] - ROUNDING, 0 if least[k] > 2 * ROUNDING else -ROUNDING))
+                q[which[own]] = weight[own]
+                s = self.matrix.exactly(i, q)
+                q[which[own]] = 0
+                i, s = i[s > 0], s[s > 0]
+                top = np.lexsort((i, -s))[:NEAREST]
+                yield i[top], s[top]
+
+    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one dense query."""
         used = np.flatnonzero(q)
-        part = q[used]
-        upper = self.bounds[:, used] @ part
-        order = np.argsort(-upper, kind="stable")
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), 8):
-            blocks = order[at : at + 8]
-            blocks = blocks[upper[blocks] > 0]
-            if not len(blocks) or (len(best_s) == NEAREST and upper[blocks[0]] < best_s[-1]):
-                break
-            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
-            rows = rows[(rows < len(self.matrix)) & (rows != skip)]
-            s = self.matrix[np.ix_(rows, used)] @ part
-            i, s = np.concatenate([best_i, rows[s > 0]]), np.concatenate([best_s, s[s > 0]])
-            top = np.lexsort((i, -s))[:NEAREST]
-            best_i, best_s = i[top], s[top]
-        return best_i, best_s
-
-    def vote(self, q: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
-        i, s = self.nearest(q, skip)
-        return (float((s * self.label[i]).sum() / s.sum()) if len(i) else self.bare), i
+        return next(self.all_nearest(np.zeros(len(used), np.int64), used, q[used], 1))
+
+    def vote(self, i: np.ndarray, s: np.ndarray) -> float:
+        return float((s * self.label[i]).sum() / s.sum()) if len(i) else self.bare
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list]]:
         n = len(texts)
@@ -152,20 +185,10 @@ class Examples:
         if not len(self.matrix):
             return scores, evidence
         rows, which, weight = self.vectors(texts)
-        if not len(rows):
-            return scores, evidence
-        starts = np.flatnonzero(np.diff(np.concatenate([[-1], rows])))
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-            key = (which[a:b].tobytes(), weight[a:b].tobytes())
-            if (found := self.known.get(key)) is None:
-                q = np.zeros(len(self.terms))
-                q[which[a:b]] = weight[a:b]
-                vote, near = self.vote(q)
-                found = (float(self.shares[np.searchsorted(self.edges, vote)]), [self.ids[i] for i in near])
-                if len(self.known) >= 50_000:
-                    self.known.clear()
-                self.known[key] = found
-            scores[rows[a]], evidence[rows[a]] = found
+        some, at = np.unique(rows, return_inverse=True)
+        for row, (i, s) in zip(some.tolist(), self.all_nearest(at, which, weight, len(some)), strict=True):
+            scores[row] = self.shares[np.searchsorted(self.edges, self.vote(i, s))]
+            evidence[row] = [self.ids[x] for x in i]
         return scores, evidence
 
 
@@ -191,9 +214,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     every = chosen.select("_id", "_label").toArrow().sort_by("_id")
     ids, label_ = every.column("_id").to_pylist(), np.array(every.column("_label").to_pylist(), float)
     bare_all = float(label_.mean()) if len(label_) else 0.0
-    terms = choose(chosen)
+    terms = vocabulary(chosen)
     if not terms:
-        return Examples([], np.zeros(0), [], np.zeros(0), np.zeros((0, 0)), bare_all)
+        none = np.zeros(0)
+        return Examples([], none, [], none, Sparse((0, 0), none, none.astype(np.int64), none), bare_all)
     number = {w: i for i, w in enumerate(terms)}
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,29 +225,31 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
             for i, j in slices(texts):
                 row, which, n, words = words_of(texts.slice(i, j - i))
-                to = np.array([number.get(w, -1) for w in words] or [-1], np.int64)[which]
-                keep = to >= 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row[keep])), pa.array(to[keep], pa.int32()), pa.array(n[keep], pa.int64())], ["_id", "term", "n"])
+                to = np.array([number[w] for w in words] or [-1], np.int32)[which]
+                ends = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (to, n))], ["_id", "term", "n"])
 
     kind = chosen.schema["_id"].dataType.simpleString()
-    got = chosen.select("_id", "text").mapInArrow(counts, f"_id {kind}, term int, n bigint").toArrow()  # at most ``most`` x TERMS rows
-    place = pa.array(ids)
-    row, to, n = np.asarray(pc.index_in(got.column("_id"), place)).astype(np.int64), np.asarray(got.column("term")).astype(np.int64), np.asarray(got.column("n")).astype(float)
+    got = chosen.select("_id", "text").mapInArrow(counts, f"_id {kind}, term array<int>, n array<int>").toArrow().combine_chunks()  # the distinct words of at most ``most`` texts
+    row = np.repeat(np.asarray(pc.index_in(got.column("_id"), pa.array(ids))).astype(np.int32), np.asarray(pc.list_value_length(got.column("term"))))
+    to, n = (np.asarray(got.column(c).combine_chunks().flatten()) for c in ("term", "n"))
+    del got
     df, total = document_frequency(docs, terms, text_col)
     idf = np.log((1 + total) / (1 + df)) + 1
-    matrix = np.zeros((len(ids), len(terms)))
-    matrix[row, to] = (1 + np.log(n)) * idf[to]
-    norm = np.sqrt((matrix**2).sum(axis=1))
+    weight = np.log(n)
+    weight += 1
+    weight *= idf[to]
+    norm = np.sqrt(np.bincount(row, weight**2, len(ids)))
     some = norm > 0
     bare = float(label_[~some].mean()) if (~some).any() else bare_all
-    matrix, ids, label_ = matrix[some] / norm[some][:, None], [x for x, s in zip(ids, some, strict=True) if s], label_[some]
-    lead = np.argsort(-matrix, axis=1, kind="stable")[:, :2] if matrix.shape[1] > 1 else np.zeros((len(matrix), 2), np.int64)
-    order = np.lexsort((lead[:, 1], lead[:, 0]))
-    return Examples(terms, idf, [ids[i] for i in order], label_[order], matrix[order], bare)
+    weight /= norm[row]
+    matrix = Sparse((int(some.sum()), len(terms)), (np.cumsum(some) - 1).astype(np.int32)[row], to, weight)
+    del row, to, n, weight
+    return Examples(terms, idf, [x for x, s in zip(ids, some, strict=True) if s], label_[some], matrix, bare)
 
 
 def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and the number of documents; each slice of a task sends one row of len(terms) counts."""
+    """In how many of all documents each term occurs, and the number of documents; a task sends the counts that aren't zero."""
     number = {w: i for i, w in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,18 +261,21 @@ def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text"
                 to = np.array([number.get(w, -1) for w in stripped(distinct)] or [-1], np.int64)
                 df += np.bincount(counted(to[codes] if len(codes) else codes, sizes, len(terms))[1], minlength=len(terms))
             rows += len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(terms))], pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], ["term", "n"])
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], seen]), pa.int32()), pa.array(np.concatenate([[rows], df[seen]]), pa.int64())], ["term", "n"])
 
-    got = docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    n = {r.term: r.n for r in got}
-    return np.array([n.get(i, 0) for i in range(len(terms))], float), int(n.get(-1, 0))
+    got = docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (np.asarray(got.column(c)).astype(np.int64) for c in ("term", "n"))
+    df = np.zeros(len(terms))
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
 def score(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` (0 to 1) and ``evidence`` (ids of the nearest examples, nearest first)."""
     small_batches(docs.sparkSession)
     source = docs.select(col(id_col), col(text_col).cast("string").alias("_text"))
-    shared = source.sparkSession.sparkContext.broadcast(examples)  # at most SAMPLE x TERMS numbers
+    shared = source.sparkSession.sparkContext.broadcast(examples)  # the words of at most SAMPLE texts
     kind = source.schema[0].dataType.simpleString()
     example_kind = "bigint" if all(isinstance(x, int) for x in examples.ids) else "string"
 
