@@ -35,6 +35,26 @@ def test_random_texts(texts):
     assert own.decode(ids).to_pylist() == [t.encode() for t in texts]
 
 
+SPACED = st.text(st.sampled_from("ab'1. \n\t\r\x0b\x1c\x85\xa0\u2003é"), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(SPACED, min_size=1, max_size=6))
+def test_white_space_at_any_place(texts):
+    import pyarrow as pa
+
+    ids = bpe.codec(DATA, public_tokenizers.PATTERN).encode(pa.array(texts, pa.string()))
+    assert ids.to_pylist() == [OWN.encode_ordinary(t) for t in texts]
+
+
+def test_line_ends_at_the_ends_of_texts():
+    import pyarrow as pa
+
+    own = bpe.codec(DATA, public_tokenizers.PATTERN)
+    for texts in (["hello world\n", "x y"], ["a", "\n\nfoo"], ["a", "\n"], ["\t", "b c"], ["a b\n", "c d\n", "e f"], ["0", "\r"]):
+        assert own.encode(pa.array(texts)).to_pylist() == [OWN.encode_ordinary(t) for t in texts]
+
+
 def test_long_words_fold_as_short_ones():
     rng = random.Random(3)
     own = bpe.codec(DATA, public_tokenizers.PATTERN)

@@ -32,8 +32,8 @@ NONE = np.int32(2**31 - 1)
 LONG = 48  # bytes from which a word is folded with a heap instead of in a matrix
 SLICE_BYTES = 4 << 20  # text that is held as words at a time
 _SPACES = r"\t\n\x{0b}\x{0c}\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: Texts in which a space touches other white space or an end: they aren't cut at their spaces.
-_UNEVEN = rf"(^|[{_SPACES}]) | ([{_SPACES}]|$)"
+#: Texts with white space at an end, or in which a space touches other white space: they aren't cut at their spaces.
+_UNEVEN = rf"^[{_SPACES}]|[{_SPACES}]$|[{_SPACES}] | [{_SPACES}]"
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -165,6 +165,8 @@ class Codec:
             here = np.zeros(len(index), bool)
             if tab in words:
                 here[:n] = index[:n] == words.index(tab)
+            if int(here.sum()) != max(0, len(chunks) - 1):
+                raise AssertionError("the pattern joined a separator to a chunk")
             counts = np.diff(np.concatenate([[-1], np.flatnonzero(here), [n]])) - 1 if chunks else []
             index = index[~here]
         return index, words, np.concatenate([np.asarray(counts, np.int64), np.array([len(ws) for ws in rest], np.int64)])
