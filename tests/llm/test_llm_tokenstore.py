@@ -16,7 +16,6 @@ from .conftest import prose
 
 DATA = file_bytes("word_bpe_49k.json")
 OWN = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-OWN.encode_special_tokens = True
 
 
 def plain(text):
@@ -31,6 +30,25 @@ def test_ids_of_random_texts(texts):
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain(t) for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "Ab", "e\u0301", "İ", "ß", "a.", "don't", " ", "\n", "\t", "7", "x,;"]), max_size=8).map("".join), min_size=1, max_size=5))
+def test_added_tokens_and_marks(texts):
+    ids, ends = tokenstore.encoded(pa.array(texts, pa.string()), DATA, 2)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain(t) for t in texts]
+
+
+def test_added_token_in_a_text():
+    ids, ends = tokenstore.encoded(pa.array(["a <|endoftext|> b", "a b"]), DATA, 2)
+    assert ids.tolist() == [320, 49407, 321, 2, 320, 321, 2] and ends.tolist() == [4, 7]
+
+
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokenstore, "KNOWN", 3)
+    for texts in (["one two three four five"], ["six one", "two"], ["one"]):
+        ids, ends = tokenstore.encoded(pa.array(texts), DATA, 2)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain(t) for t in texts]
+
+
 def test_round_trip_of_odd_texts(frame, odd_texts):
     ids = [*range(100, 100 + len(odd_texts) - 3), None, 7, 7]
     got = tokenstore.round_trip(frame(odd_texts, ids=ids), DATA, 2, with_ids=True).orderBy("start").collect()

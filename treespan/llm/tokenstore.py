@@ -1,7 +1,8 @@
 """Token files: ids of each document compressed on its own with a shared zstandard dictionary.
 
 A store is a folder of shard files in ascending id order, and ``dictionary.zdict``, trained on the
-serialised id arrays of a bounded sample of documents. A shard file is
+serialised id arrays of a bounded sample of documents (SAMPLE of them, up to SAMPLE_BYTES of each:
+it only shapes the dictionary, every document is stored whole). A shard file is
 
     b"TSTOK1\\0" + width (1 byte: bytes of an id) + SHA-256 of the dictionary
     one zstandard frame a document
@@ -13,7 +14,8 @@ attempt that wrote it; only names in the manifest, which Spark commits with the
 lost or repeated task leaves no wrong file. Token positions need only the manifest: one row a
 shard.
 
-Defined results: null text counts as empty and yields just the end id; repeated ids are separate
+Defined results: added tokens (``<|endoftext|>``) in a text are their own ids, as the library does
+by default; null text counts as empty and yields just the end id; repeated ids are separate
 documents, next to each other; a null id is written as the smallest integer, so it comes first,
 and read as null; a table without documents gives an empty store; other columns are ignored.
 """
@@ -41,9 +43,10 @@ from .bpe import ragged, slices
 from .common import col, new_path, small_batches, written
 
 MAGIC, NULL_ID = b"TSTOK1\0", -(2**63)
-SAMPLE, DICTIONARY = 2_000, 64 << 10  # documents the dictionary is trained on at most; its bytes
+SAMPLE, SAMPLE_BYTES, DICTIONARY = 2_000, 128 << 10, 64 << 10  # documents the dictionary is trained on at most, the bytes of ids of each; its own bytes
 SHARD_BYTES = 128 << 20
-SLICE, CHUNKS, KNOWN = 8 << 20, 2_000, 300_000  # text held as words, and words given to the tokenizer, at a time; words kept
+SLICE, CHUNKS = 8 << 20, 2_000  # text held as words, and words given to the tokenizer, at a time
+KNOWN, KNOWN_BYTES = 600_000, 16 << 20  # words, and their characters, that a worker keeps between batches
 
 
 @functools.lru_cache(maxsize=2)
@@ -51,85 +54,120 @@ def _tokenizer(data: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_str(data.decode())
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_str(data.decode())
 
 
 def id_width(tokenizer: bytes) -> int:
     return 2 if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
+class Words:
+    """The ids of words, kept between batches: up to about KNOWN words, then it begins anew."""
+
+    def __init__(self, tokenizer: bytes):
+        self.own = _tokenizer(tokenizer)
+        self.added = [x.content for x in self.own.get_added_tokens_decoder().values()]
+        #: Which ids end a word: of words of letters, one after another, each has one such id, its last.
+        self.final = np.zeros(self.own.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.own.get_vocab(with_added_tokens=False).items():
+            self.final[i] = token.endswith("</w>")
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.bytes = 0
+        self.ids, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def put(self, words: list[str], parts: list[np.ndarray], lens: list[np.ndarray]) -> None:
+        n = np.concatenate(lens).astype(np.int64)
+        self.bytes += sum(map(len, words))
+        self.slots.update(zip(words, range(len(self.lens), len(self.lens) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+        self.lens, self.ids = np.concatenate([self.lens, n]), np.concatenate([self.ids, *parts])
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that aren't known: those of letters many at a time, if their ends can be told."""
+        order: list[str] = []
+        parts: list[np.ndarray] = []
+        lens: list[np.ndarray] = []
+        rest = [w for w in words if not _LETTERS.fullmatch(w)]
+        plain = [w for w in words if _LETTERS.fullmatch(w)] if rest else words
+        for a in range(0, len(plain), CHUNKS):
+            some = plain[a : a + CHUNKS]
+            ids = np.array(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(some):
+                order += some
+                parts.append(ids)
+                lens.append(np.diff(np.concatenate([[0], ends])))
+            else:
+                rest += some
+        for a in range(0, len(rest), CHUNKS):
+            some = rest[a : a + CHUNKS]
+            each = [np.array(e.ids, np.uint32) for e in self.own.encode_batch_fast(some, add_special_tokens=False)]
+            order += some
+            parts += each
+            lens.append(np.array([len(x) for x in each]))
+        if order:
+            self.put(order, parts, lens)
+
+    def slots_of(self, words: list[str]) -> np.ndarray:
+        if len(self.slots) > KNOWN or self.bytes > KNOWN_BYTES:
+            self.clear()
+        self.learn([w for w in words if w not in self.slots])
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without added tokens, each with ``end`` after them, and the end of each text's."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        sizes = np.diff(np.asarray(parts.offsets)).astype(np.int64)
+        flat = parts.flatten().dictionary_encode()
+        # A piece of Latin letters and closing marks is two words for the tokenizer, the first in lower case.
+        cut = pc.extract_regex(flat.dictionary, _SIMPLE)
+        simple = cut.is_valid()
+        heads = pc.if_else(simple, pc.utf8_lower(cut.field("a")), flat.dictionary).dictionary_encode()
+        tails = pc.if_else(simple, cut.field("b"), "").dictionary_encode()
+        slots = self.slots_of(heads.dictionary.to_pylist() + tails.dictionary.to_pylist())
+        # Then the end id and nothing.
+        ids, starts, lens = np.append(self.ids, np.uint32(end)), np.append(self.starts, [len(self.ids), 0]), np.append(self.lens, [1, 0])
+        none = len(lens) - 1
+        head = np.append(slots[: len(heads.dictionary)][np.asarray(heads.indices)], none - 1)
+        tail = np.append(slots[len(heads.dictionary) :][np.asarray(tails.indices)], none)
+        order = np.full(len(flat) + len(sizes), len(head) - 1, np.int64)  # the last piece of each text is the end id
+        order[ragged((np.cumsum(sizes) - sizes) + np.arange(len(sizes)), sizes)] = np.asarray(flat.indices)
+        both = np.stack([head[order], tail[order]], axis=1).ravel()
+        picked = lens[both]
+        some = picked > 0
+        ends = np.concatenate([[0], np.cumsum(picked)])[2 * np.cumsum(sizes + 1)] if len(sizes) else np.zeros(0, np.int64)
+        return ids[ragged(starts[both[some]], picked[some])], ends
+
+
+_SIMPLE = "^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[.,!?;:]*)$"
+_LETTERS = re.compile("[a-zß-öø-ÿ]{1,64}")
+_words = functools.lru_cache(maxsize=2)(Words)
+
+
 def encoded(texts: pa.Array, tokenizer: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts (no nulls), each with ``end`` after them, and the end of each text's.
 
     For tokenizers that drop white space and never join across it: the distinct pieces between
-    blanks and line ends are encoded once a batch.
+    blanks and line ends are encoded once a batch. Texts with an added token in them, which the
+    tokenizer cuts out before all else, are encoded whole.
     """
-    own = _tokenizer(tokenizer)
-    parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-    sizes = np.diff(np.asarray(parts.offsets)).astype(np.int64)
-    flat = parts.flatten().dictionary_encode()
-    codes, distinct = np.asarray(flat.indices).astype(np.int64), flat.dictionary.to_pylist()
-    # A piece of Latin letters and closing marks is two words for the tokenizer, the first in lower case.
-    number: dict[str, int] = {}
-    put, head, tail = number.setdefault, np.empty(len(distinct) + 1, np.int64), np.full(len(distinct) + 1, -1, np.int64)
-    for i, piece in enumerate(distinct):
-        if m := _SIMPLE.fullmatch(piece):
-            head[i] = put(m[1].lower(), len(number))
-            if m[2]:
-                tail[i] = put(m[2], len(number))
-        else:
-            head[i] = put(piece, len(number))
-    words = _word_ids(own, tokenizer, list(number))
-    lens = np.array([len(w) // 4 for w in words] + [1, 0], np.int64)  # then the end id, and nothing
-    ids = np.concatenate([np.frombuffer(b"".join(words), np.uint32), np.array([end], np.uint32)])
-    starts = np.cumsum(lens) - lens
-    head[-1], tail[tail < 0] = len(words), len(words) + 1
-    order = np.full(len(codes) + len(sizes), len(distinct), np.int64)  # the last piece of each text is the end id
-    order[ragged((np.cumsum(sizes) - sizes) + np.arange(len(sizes)), sizes)] = codes
-    both = np.stack([head[order], tail[order]], axis=1).ravel()
-    picked = lens[both]
-    ends = np.concatenate([[0], np.cumsum(picked)])[2 * np.cumsum(sizes + 1)] if len(sizes) else np.zeros(0, np.int64)
-    return ids[ragged(starts[both], picked)], ends
-
-
-@functools.lru_cache(maxsize=2)
-def _final(tokenizer: bytes) -> np.ndarray:
-    """Which ids end a word: of words of letters, one after another, each has one such id, its last."""
-    own = _tokenizer(tokenizer)
-    out = np.zeros(own.get_vocab_size(with_added_tokens=True), bool)
-    for token, i in own.get_vocab(with_added_tokens=False).items():
-        out[i] = token.endswith("</w>")
-    return out
-
-
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
-_known: dict[bytes, dict[str, bytes]] = {}
-
-
-def _word_ids(own, tokenizer: bytes, words: list[str]) -> list[bytes]:
-    """The ids of each word as 32-bit numbers; a worker keeps those of up to KNOWN words between batches."""
-    known = _known.setdefault(hashlib.sha1(tokenizer).digest(), {})
-    if len(known) > KNOWN:
-        known.clear()
-    new = [w for w in words if w not in known]
-    extra: dict[str, bytes] = {}
-    letters = [w for w in new if len(w) <= 64 and _SIMPLE.fullmatch(w) and w[-1].isalpha()]
-    final = _final(tokenizer)
-    for a in range(0, len(letters), CHUNKS):
-        some = letters[a : a + CHUNKS]
-        ids = np.array(own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(final[ids]) + 1
-        if len(ends) == len(some):
-            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            known.update((w, data[x:y]) for w, x, y in zip(some, at, at[1:], strict=False))
-    new = [w for w in new if w not in known]
-    for a in range(0, len(new), CHUNKS):
-        some = new[a : a + CHUNKS]
-        for w, e in zip(some, own.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            (known if len(w) <= 64 else extra)[w] = np.array(e.ids, np.uint32).tobytes()
-    return [extra[w] if w in extra else known[w] for w in words]
+    own = _words(tokenizer)
+    odd = np.zeros(len(texts), bool)
+    for token in own.added:
+        odd |= np.asarray(pc.match_substring(texts, token))
+    if not odd.any():
+        return own.encode(texts, end)
+    ids, ends = own.encode(texts.filter(pa.array(~odd)), end)
+    whole = own.own.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)
+    parts = np.empty(len(texts), object)
+    for at, part in zip(np.flatnonzero(~odd), np.split(ids, ends[:-1]) if len(ends) else [], strict=True):
+        parts[at] = part
+    for at, e in zip(np.flatnonzero(odd), whole, strict=True):
+        parts[at] = np.array([*e.ids, end], np.uint32)
+    return np.concatenate(list(parts)), np.cumsum([len(x) for x in parts])
 
 
 def _trained(docs: DataFrame, tokenizer: bytes, end: int, width: int) -> bytes:
@@ -141,7 +179,7 @@ def _trained(docs: DataFrame, tokenizer: bytes, end: int, width: int) -> bytes:
             for a, b in slices(batch.column(0), SLICE):
                 ids, ends = encoded(batch.column(0).slice(a, b - a).cast(pa.string()), shared.value, end)
                 raw = [x.astype(f"<u{width}").tobytes() for x in np.split(ids, ends[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array([x[: 128 << 10] for x in raw], pa.binary())], ["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in raw], pa.binary())], ["ids"])
 
     chosen = docs.where("id IS NOT NULL").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     some = docs.join(F.broadcast(chosen), "id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
