@@ -88,16 +88,19 @@ def test_bit_parallel_distance(spark):
     rng = random.Random(8)
     pairs = []
     for _ in range(400):
-        a = b = "".join(rng.choice("ab😀") for _ in range(rng.randrange(4, 14)))
+        a = b = "".join(rng.choice("ab😀") for _ in range(rng.randrange(4, 24)))
         for _ in range(rng.randrange(0, 4)):
             b = edit(b, rng)
         a, b = sorted((a, b), key=len)
-        if len(a) >= 4:
-            pairs.append((a, b))
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.split("a", "").alias("_a"), F.split("b", "").alias("_b"))
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
     for tau in (1, 2, 3):
-        got = df.where(F.size("_b") - F.size("_a") <= tau).select("a", "b", linededup.within("_a", "_b", tau).alias("hit")).collect()
+        near = df.where(F.length("b") - F.length("a") <= tau)
+        got = near.select("a", "b", linededup.within(F.col("a"), F.col("b"), tau).alias("hit")).collect()
         assert got and all(r.hit == (distance(r.a, r.b) <= tau) for r in got)
+        for most in range(1, tau + 1):
+            got = near.select("a", "b", linededup.within(F.col("a"), F.col("b"), tau, F.lit(most)).alias("hit"), linededup.part_kept(F.col("a"), F.col("b"), F.lit(most)).alias("part")).collect()
+            assert all(r.hit == (distance(r.a, r.b) <= most) and (r.part or not r.hit) for r in got)
 
 
 def test_dedup_takes_the_lines_out(frame):

@@ -32,7 +32,7 @@ from .graph import components
 
 TAU, MIN_CHARS = 1, 1
 QUERY_TAU, QUERY_CHARS = 3, 20  # one edit for each 20 characters, 3 at most: of the registered query and the pipeline
-LETTERS = "eantoris"
+LETTERS, FEW_LETTERS = "eantoris", "eant"
 BROADCAST_LINES = 1_000_000  # hashes of candidate lines, 8 bytes each, up to which they are broadcast
 
 
@@ -71,39 +71,57 @@ def keys(line: Column, length: Column, tau: int, chars: int) -> tuple[Column, Co
     return F.transform(listed(0, lambda i, delta, k: [0]), hashed), F.transform(probe, hashed)
 
 
-def letters(line: Column) -> Column:
-    """Counts of LETTERS, each modulo 256, in one long; a letter is one byte."""
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+def letters(line: Column, which: str = LETTERS) -> Column:
+    """Counts of the letters, each modulo 256, in one number, an int for up to four; a letter is one byte."""
+    kind = "int" if len(which) <= 4 else "long"
+    out = F.lit(0).cast(kind)
+    for i, c in enumerate(which):
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast(kind)
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
     return out
 
 
-def letters_apart(a: Column, b: Column) -> Column:
-    """The sum of the differences of the counts, each the shorter way round 256."""
+def letters_apart(a: Column, b: Column, n: int = len(LETTERS)) -> Column:
+    """The sum of the differences of the ``n`` counts, each the shorter way round 256."""
     total = F.lit(0)
-    for i in range(len(LETTERS)):
+    for i in range(n):
         d = F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)))
         total = total + F.least(d, 256 - d)
     return total
 
 
-def within(a: str, b: str, tau: int, most: Column | None = None) -> Column:
-    """Whether the strings in columns ``a`` (not the longer) and ``b``, neither shorter than ``tau`` + 1, are within ``tau`` edits, or ``most`` of these.
+def part_kept(x: Column, y: Column, t: Column) -> Column:
+    """Whether ``y`` holds one of the t + 1 parts of ``x`` unchanged: if not, more than t edits lie between them."""
+
+    def held(i: Column) -> Column:
+        start, size = segment(F.length(x), i, t + 1)
+        return F.contains(y, F.substring(x, start + 1, size))
+
+    return F.exists(F.sequence(F.lit(0), t), held)
+
+
+def within(x: Column, y: Column, tau: int, most: Column | None = None) -> Column:
+    """Whether ``x`` (not the longer) and ``y`` are within ``tau`` edits, or ``most`` of these.
 
     Column bits of the band around the diagonal, Hyyro (2003): vp and vn are its vertical
-    differences, d is the distance on the diagonal and, past its end, along the last row.
+    differences, d is the distance on the diagonal and, past its end, along the last row. The
+    characters are cut once; a short ``x`` is padded alike on both sides, as the band needs.
     """
+    pad = F.when(F.length(x) <= tau, F.repeat(F.lit("\x00"), tau + 1)).otherwise("")
+    both = F.struct(F.split(F.concat(pad, x), "").alias("a"), F.split(F.concat(pad, y), "").alias("b"))
+    return once(both, lambda p: banded(p["a"], p["b"], tau, F.lit(tau) if most is None else most))
+
+
+def banded(a: Column, b: Column, tau: int, most: Column) -> Column:
     w = 2 * tau + 2
-    ones, n = (1 << w) - 1, F.size("_b")
+    ones, n = (1 << w) - 1, F.size(b)
     lit = lambda x: F.lit(x).cast("long")
     inv = lambda x: F.bitwise_not(x).bitwiseAND(lit(ones))
 
     def step(s: Column, i: Column) -> Column:
-        c, m = F.get("_b", i), lit(0)
+        c, m = F.get(b, i), lit(0)
         for k in range(w):
-            m = m.bitwiseOR(F.when(F.get("_a", i + (tau + 1 - w + k)) == c, lit(1 << k)).otherwise(lit(0)))
+            m = m.bitwiseOR(F.when(F.get(a, i + (tau + 1 - w + k)) == c, lit(1 << k)).otherwise(lit(0)))
         return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), m.alias("m"), i.alias("i"))
 
     def advance(s: Column) -> Column:
@@ -115,13 +133,16 @@ def within(a: str, b: str, tau: int, most: Column | None = None) -> Column:
         vp, vn, d0 = s["vp"], s["vn"], s["d0"]
         hp, hn = vn.bitwiseOR(inv(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
         half = F.shiftright(d0, 1)
-        past = s["i"] - (F.size("_a") - tau)  # steps past the end of the diagonal
+        past = s["i"] - (F.size(a) - tau)  # steps past the end of the diagonal
         bit = lambda x: F.call_function("shiftright", x, (w - 2 - past).cast("int")).bitwiseAND(lit(1))
         d = F.when(past < 0, s["d"] + 1 - F.shiftright(d0, w - 1)).otherwise(s["d"] + bit(hp) - bit(hn))
         return F.struct(hn.bitwiseOR(inv(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), d.alias("d"))
 
+    # Along the diagonal the distance never falls, along the last row by 1 a step, 2 tau at most: beyond this it is over.
+    over = 2 * tau + most
+    go = lambda s, i: F.when(s["d"] > over, s).otherwise(once(once(step(s, i), advance), settle))
     start = F.struct(lit(ones << (w - tau - 1) & ones).alias("vp"), lit(0).alias("vn"), lit(tau).alias("d"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, lambda s, i: once(once(step(s, i), advance), settle), lambda s: s["d"] <= (F.lit(tau) if most is None else most))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), start, go, lambda s: s["d"] <= most)
 
 
 def once(value: Column, f) -> Column:
@@ -148,45 +169,41 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``pos``, ``line``, ``h1``, ``h2`` of the lines that count."""
     out = docs.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), F.posexplode(F.split(col(text_col).cast("string"), "\n")).alias("pos", "line"))
     out = out.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where(F.length("line") >= MIN_CHARS)
-    return out.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
+    return out.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines within their threshold."""
+    """Pairs (a, b) of numbers of different lines within their threshold; distinct: ``no``, ``line``, ``length``, ``few`` (counts of letters)."""
     index, probe = keys(F.col("line"), F.col("length"), tau, chars)
     some = distinct.where(F.col("length") >= chars)
     # An inner explode would have the keys computed once more, in a filter on their number.
-    index = some.select("h1", "letters", F.explode_outer(index).alias("key")).where("key IS NOT NULL")
-    probe = some.select(F.col("h1").alias("h1_"), F.col("letters").alias("letters_"), F.explode_outer(probe).alias("key")).where("key IS NOT NULL")
-    close = letters_apart(F.col("letters"), F.col("letters_")) <= 2 * tau
-    pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("h1") != F.col("h1_")) & close)
-    pairs = written(pairs.select(F.least("h1", "h1_").alias("a"), F.greatest("h1", "h1_").alias("b")).distinct(), "pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "wanted")
+    index = some.select("no", "few", F.explode_outer(index).alias("key")).where("key IS NOT NULL")
+    probe = some.select(F.col("no").alias("no_"), F.col("few").alias("few_"), F.explode_outer(probe).alias("key")).where("key IS NOT NULL")
+    close = letters_apart(F.col("few"), F.col("few_"), len(FEW_LETTERS)) <= 2 * tau
+    pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("no") != F.col("no_")) & close)
+    pairs = written(pairs.select(F.least("no", "no_").alias("a"), F.greatest("no", "no_").alias("b")).distinct(), "pairs")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_LINES
-    texts = distinct.join(F.broadcast(wanted) if few else wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
-    texts = written(texts, "lines")
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
+    texts = written(distinct.join(F.broadcast(wanted) if few else wanted, "no", "left_semi").select("no", "line", letters(F.col("line")).alias("all")), "lines")
+    both = pairs.join(texts.select(F.col("no").alias("a"), F.col("line").alias("x"), F.col("all").alias("all_x")), "a").join(texts.select(F.col("no").alias("b"), F.col("line").alias("y"), F.col("all").alias("all_y")), "b")
     swap = F.length("x") > F.length("y")
     t = threshold(F.least(F.length("x"), F.length("y")), tau, chars)
-    both = both.where(F.abs(F.length("x") - F.length("y")) <= t)
+    both = both.where((F.abs(F.length("x") - F.length("y")) <= t) & (letters_apart(F.col("all_x"), F.col("all_y")) <= 2 * t))
     both = both.select("a", "b", t.alias("t"), middles(F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))).alias("m"))
-    # Both ends of what differs differ, so a middle of two characters or more takes two edits at least.
     # The middles are a table: folded into the filter below they would be cut again at every step.
-    both = written(both.select("a", "b", "t", "m.x", "m.y").where((F.col("t") > 1) | (F.length("y") <= 1)), "middles")
-    short = F.length("x") <= tau  # the fold's band takes longer strings; a short x is padded alike on both sides
-    pad = F.when(short, F.repeat(F.lit("\x00"), tau + 1)).otherwise("")
-    both = both.select("a", "b", "t", F.split(F.concat(pad, "x"), "").alias("_a"), F.split(F.concat(pad, "y"), "").alias("_b"))
-    return both.where(within("_a", "_b", tau, F.col("t"))).select("a", "b")
+    both = written(both.select("a", "b", "t", "m.x", "m.y"), "middles").where(part_kept(F.col("x"), F.col("y"), F.col("t")))
+    return both.where(within(F.col("x"), F.col("y"), tau, F.col("t"))).select("a", "b")
 
 
 def decisions(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", chars: int = 0) -> DataFrame:
     """A row for each line that goes: ``id``, ``pos`` (from 0), ``first_id`` and ``first_pos`` (the occurrence that stays), ``equal`` (it is the same text)."""
     own = lines(docs, id_col, text_col)
     distinct = own.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    distinct = written(distinct.withColumn("length", F.length("line")).withColumn("letters", letters(F.col("line"))), "lines")
+    distinct = distinct.select("*", F.monotonically_increasing_id().alias("no"), F.length("line").alias("length"), letters(F.col("line"), FEW_LETTERS).alias("few"))
+    distinct = written(distinct, "lines")
     near = components(written(linked(distinct, tau, chars), "links"))
     near = written(near, "classes")
-    some = distinct.select("h1", "h2", "first", "n").join(near.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 OR component IS NOT NULL")
+    some = distinct.select("h1", "h2", "no", "first", "n").join(near.withColumnRenamed("node", "no"), "no", "left").where("n > 1 OR component IS NOT NULL")
     lead = some.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("lead"))
     some = some.join(lead, "component", "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first", F.coalesce("lead", "first").alias("lead"))
     at = F.struct("id", "pos")
