@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +32,38 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while; what the caller had comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, kind: str = "table", compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: it cuts the lineage and
-    outlives executors, so nothing before it is computed twice."""
+    outlives executors, so nothing before it is computed twice. Shuffle files of the write go with it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, kind)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, _CLEAN_UP, "true"):
+        df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes ``written`` tables that nothing reads any more."""
+    for df in tables:
+        remove_path(df.sparkSession, df._table_path)
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:

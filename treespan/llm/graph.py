@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -39,7 +39,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         new = written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        was, state, now = state, _state(new), new
+        was, state = state, _state(new)
+        forget(now)
+        now = new
         if was == state:
             break
     else:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, written
+from .common import col, forget, fresh, written
 from .graph import components
 
 TAU, MIN_CHARS = 1, 1
@@ -173,7 +173,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
-    """Pairs (a, b) of numbers of different lines within their threshold; distinct: ``no``, ``line``, ``length``, ``few`` (counts of letters)."""
+    """Pairs (a, b) of numbers of different lines within their threshold, a written table; distinct: ``no``, ``line``, ``length``, ``few`` (counts of letters)."""
     index, probe = keys(F.col("line"), F.col("length"), tau, chars)
     some = distinct.where(F.col("length") >= chars)
     # An inner explode would have the keys computed once more, in a filter on their number.
@@ -191,8 +191,12 @@ def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
     both = both.where((F.abs(F.length("x") - F.length("y")) <= t) & (letters_apart(F.col("all_x"), F.col("all_y")) <= 2 * t))
     both = both.select("a", "b", t.alias("t"), middles(F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))).alias("m"))
     # The middles are a table: folded into the filter below they would be cut again at every step.
-    both = written(both.select("a", "b", "t", "m.x", "m.y"), "middles").where(part_kept(F.col("x"), F.col("y"), F.col("t")))
-    return both.where(within(F.col("x"), F.col("y"), tau, F.col("t"))).select("a", "b")
+    both = written(both.select("a", "b", "t", "m.x", "m.y"), "middles")
+    forget(pairs, wanted, texts)
+    hits = both.where(part_kept(F.col("x"), F.col("y"), F.col("t"))).where(within(F.col("x"), F.col("y"), tau, F.col("t"))).select("a", "b")
+    hits = written(hits, "links")
+    forget(both)
+    return hits
 
 
 def decisions(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text", chars: int = 0) -> DataFrame:
@@ -201,7 +205,7 @@ def decisions(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col:
     distinct = own.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     distinct = distinct.select("*", F.monotonically_increasing_id().alias("no"), F.length("line").alias("length"), letters(F.col("line"), FEW_LETTERS).alias("few"))
     distinct = written(distinct, "lines")
-    near = components(written(linked(distinct, tau, chars), "links"))
+    near = components(linked(distinct, tau, chars))
     near = written(near, "classes")
     some = distinct.select("h1", "h2", "no", "first", "n").join(near.withColumnRenamed("node", "no"), "no", "left").where("n > 1 OR component IS NOT NULL")
     lead = some.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("lead"))
