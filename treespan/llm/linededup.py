@@ -32,7 +32,7 @@ from .graph import components
 
 TAU, MIN_CHARS = 1, 1
 QUERY_TAU, QUERY_CHARS = 3, 20  # one edit for each 20 characters, 3 at most: of the registered query and the pipeline
-LETTERS, FEW_LETTERS = "eantoris", "eant"
+LETTERS = "eantorislducmphg"
 BROADCAST_LINES = 1_000_000  # hashes of candidate lines, 8 bytes each, up to which they are broadcast
 
 
@@ -60,33 +60,34 @@ def keys(line: Column, length: Column, tau: int, chars: int) -> tuple[Column, Co
         t, out = threshold(length - delta, tau, chars), F.lit(None).cast("array<struct<d:int,k:int,i:int,s:int>>")
         for k in range(max(delta, 1), tau + 1):
             spots = [F.struct(F.lit(delta).alias("d"), F.lit(k + 1).alias("k"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i in range(k + 1) for s in place(i, delta, k)]
-            out = F.when(t == k, F.array(*spots)).otherwise(out)
+            out = F.when(t == k, F.array(*spots)).otherwise(out) if spots else out
         return F.coalesce(out, F.array().cast("array<struct<d:int,k:int,i:int,s:int>>"))
 
     def hashed(p: Column) -> Column:
         start, size = segment(length - p["d"], p["i"], p["k"])
         return F.xxhash64(length - p["d"], p["i"], F.substring(line, start + p["s"] + 1, size))
 
-    probe = F.flatten(F.array(*[listed(delta, shifts) for delta in range(tau + 1)]))
+    # A segment at its own place in a line of the same length is found in the index itself.
+    moved = lambda i, delta, k: [s for s in shifts(i, delta, k) if delta or s]
+    probe = F.flatten(F.array(*[listed(delta, moved) for delta in range(tau + 1)]))
     return F.transform(listed(0, lambda i, delta, k: [0]), hashed), F.transform(probe, hashed)
 
 
-def letters(line: Column, which: str = LETTERS) -> Column:
-    """Counts of the letters, each modulo 256, in one number, an int for up to four; a letter is one byte."""
-    kind = "int" if len(which) <= 4 else "long"
-    out = F.lit(0).cast(kind)
-    for i, c in enumerate(which):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast(kind)
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
+def letters(line: Column) -> Column:
+    """Counts of LETTERS, each modulo 16, in one long; a letter is one byte."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)), 4 * i))
     return out
 
 
-def letters_apart(a: Column, b: Column, n: int = len(LETTERS)) -> Column:
-    """The sum of the differences of the ``n`` counts, each the shorter way round 256."""
+def letters_apart(a: Column, b: Column) -> Column:
+    """The sum of the differences of the counts, each the shorter way round 16."""
     total = F.lit(0)
-    for i in range(n):
-        d = F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255)))
-        total = total + F.least(d, 256 - d)
+    for i in range(len(LETTERS)):
+        d = F.abs(F.shiftrightunsigned(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(F.lit(15)))
+        total = total + F.least(d, 16 - d)
     return total
 
 
@@ -173,22 +174,27 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
-    """Pairs (a, b) of numbers of different lines within their threshold, a written table; distinct: ``no``, ``line``, ``length``, ``few`` (counts of letters)."""
+    """Pairs (a, b) of numbers of different lines within their threshold, a written table; distinct: ``no``, ``line``, ``length``, ``counts`` (of letters)."""
     index, probe = keys(F.col("line"), F.col("length"), tau, chars)
     some = distinct.where(F.col("length") >= chars)
     # An inner explode would have the keys computed once more, in a filter on their number.
-    index = some.select("no", "few", F.explode_outer(index).alias("key")).where("key IS NOT NULL")
-    probe = some.select(F.col("no").alias("no_"), F.col("few").alias("few_"), F.explode_outer(probe).alias("key")).where("key IS NOT NULL")
-    close = letters_apart(F.col("few"), F.col("few_"), len(FEW_LETTERS)) <= 2 * tau
-    pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("no") != F.col("no_")) & close)
-    pairs = written(pairs.select(F.least("no", "no_").alias("a"), F.greatest("no", "no_").alias("b")).distinct(), "pairs")
+    index = some.select("no", "counts", F.explode_outer(index).alias("key")).where("key IS NOT NULL")
+    probe = some.select("no", "counts", F.explode_outer(probe).alias("key")).where("key IS NOT NULL")
+
+    def met(x: DataFrame, y: DataFrame, other: Column) -> DataFrame:
+        close = letters_apart(F.col("x.counts"), F.col("y.counts")) <= 2 * tau
+        pairs = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & other & close)
+        return pairs.select(F.least("x.no", "y.no").alias("a"), F.greatest("x.no", "y.no").alias("b"))
+
+    pairs = met(index, index, F.col("x.no") < F.col("y.no")).union(met(index, probe, F.col("x.no") != F.col("y.no")))
+    pairs = written(pairs.distinct(), "pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_LINES
-    texts = written(distinct.join(F.broadcast(wanted) if few else wanted, "no", "left_semi").select("no", "line", letters(F.col("line")).alias("all")), "lines")
-    both = pairs.join(texts.select(F.col("no").alias("a"), F.col("line").alias("x"), F.col("all").alias("all_x")), "a").join(texts.select(F.col("no").alias("b"), F.col("line").alias("y"), F.col("all").alias("all_y")), "b")
+    texts = written(distinct.join(F.broadcast(wanted) if few else wanted, "no", "left_semi").select("no", "line"), "lines")
+    both = pairs.join(texts.select(F.col("no").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("no").alias("b"), F.col("line").alias("y")), "b")
     swap = F.length("x") > F.length("y")
     t = threshold(F.least(F.length("x"), F.length("y")), tau, chars)
-    both = both.where((F.abs(F.length("x") - F.length("y")) <= t) & (letters_apart(F.col("all_x"), F.col("all_y")) <= 2 * t))
+    both = both.where(F.abs(F.length("x") - F.length("y")) <= t)
     both = both.select("a", "b", t.alias("t"), middles(F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))).alias("m"))
     # The middles are a table: folded into the filter below they would be cut again at every step.
     both = written(both.select("a", "b", "t", "m.x", "m.y"), "middles")
@@ -203,7 +209,7 @@ def decisions(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col:
     """A row for each line that goes: ``id``, ``pos`` (from 0), ``first_id`` and ``first_pos`` (the occurrence that stays), ``equal`` (it is the same text)."""
     own = lines(docs, id_col, text_col)
     distinct = own.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    distinct = distinct.select("*", F.monotonically_increasing_id().alias("no"), F.length("line").alias("length"), letters(F.col("line"), FEW_LETTERS).alias("few"))
+    distinct = distinct.select("*", F.monotonically_increasing_id().alias("no"), F.length("line").alias("length"), letters(F.col("line")).alias("counts"))
     distinct = written(distinct, "lines")
     near = components(linked(distinct, tau, chars))
     near = written(near, "classes")
