@@ -1,7 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Vectors: (1 + ln count) * idf over all words of the examples; idf = ln((1 + N) / (1 + df)) + 1 with
-df and N counted over *all* documents. The examples are a bounded sample of the labelled rows
+Vectors: (1 + ln count) * idf * (1 + G / LEAN) over all words of the examples; idf = ln((1 + N) / (1 + df)) + 1
+with df and N counted over *all* documents, and G the log-likelihood ratio of the word's presence and
+the label among the examples (supervised term weighting: no word is left out, a word that tells the
+labels apart counts more; plain TF-IDF tells toxic texts apart less well, see the README). The examples are a bounded sample of the labelled rows
 outside the held-out fold (``most``, smallest hashes), so their words are bounded too; every worker
 holds them as an inverted index. Words of a query that no example has are in no product; in its
 length they would scale all its cosines alike, so neighbours and votes are the same without them.
@@ -38,6 +40,7 @@ from .words import PUNCTUATION, coded, counted, labelled, sample, slices
 SAMPLE = 12_000  # labelled examples at most
 HEAVY, BATCH, ROUNDING = 512, 64, 1e-5
 NEAREST, CALIBRATION_BINS = 15, 20
+LEAN = 10.0  # the G at which a word's weight doubles
 
 
 def stripped(distinct: list[str]) -> list[str]:
@@ -125,7 +128,7 @@ class Examples:
     """The index of the labelled examples."""
 
     terms: list[str]
-    idf: np.ndarray
+    idf: np.ndarray  # what a term's counts are multiplied by
     ids: list
     label: np.ndarray
     matrix: Sparse  # examples x terms, rows of length 1
@@ -235,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     to, n = (np.asarray(got.column(c).combine_chunks().flatten()) for c in ("term", "n"))
     del got
     df, total = document_frequency(docs, terms, text_col)
-    idf = np.log((1 + total) / (1 + df)) + 1
+    idf = (np.log((1 + total) / (1 + df)) + 1) * (1 + told_apart(to, row, label_, len(terms)) / LEAN)
     weight = np.log(n)
     weight += 1
     weight *= idf[to]
@@ -248,6 +251,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     return Examples(terms, idf, [x for x, s in zip(ids, some, strict=True) if s], label_[some], matrix, bare)
 
 
+def told_apart(term: np.ndarray, row: np.ndarray, label: np.ndarray, width: int) -> np.ndarray:
+    """G of each term: twice the log-likelihood ratio of its presence (in the examples ``row``) and the label."""
+    x = lambda v: v * np.log(np.maximum(v, 1e-300))
+    ones, size = np.bincount(term, label[row], width), np.bincount(term, minlength=width).astype(float)
+    most, n = label.sum(), float(len(label))
+    table = (ones, size - ones, most - ones, n - most - (size - ones))
+    margins = x(size) + x(n - size) + x(most) + x(n - most) - x(n)
+    return np.maximum(2 * (sum(x(np.maximum(v, 0.0)) for v in table) - margins), 0.0)
+
+
 def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents; a task sends the counts that aren't zero."""
     number = {w: i for i, w in enumerate(terms)}
