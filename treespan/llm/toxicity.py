@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,30 +44,35 @@ NEAREST, CALIBRATION_BINS = 15, 20
 LEAN = 10.0  # the G at which a word's weight doubles
 
 
-def stripped(distinct: list[str]) -> list[str]:
-    return [w.strip(PUNCTUATION) for w in distinct]
+def hashed(distinct: list[str]) -> np.ndarray:
+    """64-bit hashes of words without the punctuation at their ends, 0 where nothing is left; words go by their hash."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(x) | 1 if (x := w.strip(PUNCTUATION)) else 0 for w in distinct] or [0], np.uint64).view(np.int64)
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Row, word and count of each distinct word of each text, and the words: stripped, none empty."""
+def words_of(texts: pa.Array, terms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and count of each distinct word of each text, and the sorted hashes that the words are numbers of: all, or ``terms``, which leaves others out."""
     codes, sizes, distinct = coded(texts)
-    number: dict[str, int] = {}
-    to = np.array([number.setdefault(w, len(number)) if w else -1 for w in stripped(distinct)] or [-1], np.int64)
-    return (*counted(to[codes] if len(codes) else codes, sizes, max(1, len(number))), list(number))
+    h = hashed(distinct)
+    if terms is None:
+        terms = np.unique(h[h != 0])
+    at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
+    to = np.where(terms[at] == h, at, -1) if len(terms) else np.full(len(h), -1)
+    return (*counted(to[codes] if len(codes) else codes, sizes, max(1, len(terms))), terms)
 
 
-def vocabulary(examples: DataFrame) -> list[str]:
-    """All words of ``examples`` (_id, text, _label), none if their labels are of one kind."""
+def vocabulary(examples: DataFrame) -> np.ndarray:
+    """Hashes of all words of ``examples`` (_id, text, _label), sorted; none if their labels are of one kind."""
     if examples.select((F.col("_label") > 0.5).alias("one")).distinct().count() < 2:
-        return []
+        return np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(0).cast(pa.string()), "")
             for i, j in slices(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(words_of(texts.slice(i, j - i))[3], pa.string())], ["word"])
+                yield pa.RecordBatch.from_arrays([pa.array(words_of(texts.slice(i, j - i))[3], pa.int64())], ["word"])
 
-    return sorted(examples.select("text").mapInArrow(run, "word string").distinct().toArrow().column(0).to_pylist())
+    return np.sort(np.asarray(examples.select("text").mapInArrow(run, "word bigint").distinct().toArrow().column(0)))
 
 
 class Sparse:
@@ -127,7 +133,7 @@ class Sparse:
 class Examples:
     """The index of the labelled examples."""
 
-    terms: list[str]
+    terms: np.ndarray  # sorted hashes of the words
     idf: np.ndarray  # what a term's counts are multiplied by
     ids: list
     label: np.ndarray
@@ -137,7 +143,6 @@ class Examples:
     shares: np.ndarray = field(default=None)
 
     def __post_init__(self):
-        self.number = {w: i for i, w in enumerate(self.terms)}
         if len(self.matrix):
             m = self.matrix
             votes = np.array([self.vote(i, s) for i, s in self.all_nearest(m.row.astype(np.int64), m.term, m.weight, len(m), skip=True)])
@@ -145,10 +150,7 @@ class Examples:
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, term and weight of the words of the vocabulary in each text, rows of length 1."""
-        codes, sizes, distinct = coded(texts)
-        find = self.number.get
-        to = np.array([find(w, -1) for w in stripped(distinct)] or [-1], np.int64)
-        rows, which, count = counted(to[codes] if len(codes) else codes, sizes, max(1, len(self.terms)))
+        rows, which, count, _ = words_of(texts, self.terms)
         weight = (1 + np.log(count)) * (self.idf[which] if len(which) else 0)
         norm = np.sqrt(np.bincount(rows, weight**2, len(texts)))
         return rows, which, weight / norm[rows]
@@ -218,17 +220,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     ids, label_ = every.column("_id").to_pylist(), np.array(every.column("_label").to_pylist(), float)
     bare_all = float(label_.mean()) if len(label_) else 0.0
     terms = vocabulary(chosen)
-    if not terms:
+    if not len(terms):
         none = np.zeros(0)
-        return Examples([], none, [], none, Sparse((0, 0), none, none.astype(np.int64), none), bare_all)
-    number = {w: i for i, w in enumerate(terms)}
+        return Examples(terms, none, [], none, Sparse((0, 0), none, none.astype(np.int64), none), bare_all)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # the words of at most ``most`` texts, 8 bytes each
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
             for i, j in slices(texts):
-                row, which, n, words = words_of(texts.slice(i, j - i))
-                to = np.array([number[w] for w in words] or [-1], np.int32)[which]
+                row, to, n, _ = words_of(texts.slice(i, j - i), shared.value)
                 ends = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (to, n))], ["_id", "term", "n"])
 
@@ -237,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     row = np.repeat(np.asarray(pc.index_in(got.column("_id"), pa.array(ids))).astype(np.int32), np.asarray(pc.list_value_length(got.column("term"))))
     to, n = (np.asarray(got.column(c).combine_chunks().flatten()) for c in ("term", "n"))
     del got
-    df, total = document_frequency(docs, terms, text_col)
+    df, total = document_frequency(docs, shared, text_col)
     idf = (np.log((1 + total) / (1 + df)) + 1) * (1 + told_apart(to, row, label_, len(terms)) / LEAN)
     weight = np.log(n)
     weight += 1
@@ -261,25 +262,23 @@ def told_apart(term: np.ndarray, row: np.ndarray, label: np.ndarray, width: int)
     return np.maximum(2 * (sum(x(np.maximum(v, 0.0)) for v in table) - margins), 0.0)
 
 
-def document_frequency(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and the number of documents; a task sends the counts that aren't zero."""
-    number = {w: i for i, w in enumerate(terms)}
+def document_frequency(docs: DataFrame, shared, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """In how many of all documents each of the terms (a broadcast) occurs, and the number of documents; a task sends the counts that aren't zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(len(terms), np.int64), 0
+        terms, rows = shared.value, 0
+        df = np.zeros(len(terms), np.int64)
         for batch in batches:
             texts = pc.fill_null(batch.column(0).cast(pa.string()), "")
             for a, b in slices(texts):
-                codes, sizes, distinct = coded(texts.slice(a, b - a))
-                to = np.array([number.get(w, -1) for w in stripped(distinct)] or [-1], np.int64)
-                df += np.bincount(counted(to[codes] if len(codes) else codes, sizes, len(terms))[1], minlength=len(terms))
+                df += np.bincount(words_of(texts.slice(a, b - a), terms)[1], minlength=len(terms))
             rows += len(texts)
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], seen]), pa.int32()), pa.array(np.concatenate([[rows], df[seen]]), pa.int64())], ["term", "n"])
 
     got = docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = (np.asarray(got.column(c)).astype(np.int64) for c in ("term", "n"))
-    df = np.zeros(len(terms))
+    df = np.zeros(len(shared.value))
     df[term[term >= 0]] = n[term >= 0]
     return df, int(n[term < 0].sum())
 
