@@ -39,7 +39,7 @@ from .common import col, map_arrow, small_batches, written
 from .words import PUNCTUATION, coded, counted, labelled, sample, slices
 
 SAMPLE = 12_000  # labelled examples at most
-HEAVY, BATCH, ROUNDING = 512, 64, 1e-5
+HEAVY, BATCH, POSTINGS, ROUNDING = 128, 32, 200_000, 1e-5
 NEAREST, CALIBRATION_BINS = 15, 20
 LEAN = 10.0  # the G at which a word's weight doubles
 
@@ -117,10 +117,17 @@ class Sparse:
         at = self.place[term]
         q = np.zeros((n, len(self.dense)), np.float32)
         q[which[at >= 0], at[at >= 0]] = weight[at >= 0]
-        size = self.size[term]
-        i = np.repeat(self.start[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        light = np.bincount(np.repeat(which, size) * len(self) + self.post_row[i], np.repeat(weight, size) * self.post_weight[i], n * len(self))
-        return q @ self.dense + light.reshape(n, len(self))
+        out = (q @ self.dense).astype(float).reshape(-1)
+        # Postings of the others, a bounded number at a time: a long query has many.
+        ends = np.cumsum(self.size[term])
+        a = 0
+        while a < len(term):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, side="right")))
+            size = self.size[term[a:b]]
+            i = np.repeat(self.start[term[a:b]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            np.add.at(out, np.repeat(which[a:b] * len(self), size) + self.post_row[i], np.repeat(weight[a:b], size) * self.post_weight[i])
+            a = b
+        return out.reshape(n, len(self))
 
     def exactly(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The products of some rows with a dense query."""
