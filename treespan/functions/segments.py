@@ -29,14 +29,16 @@ def gaps(spans: DataFrame, bounds: DataFrame, label: str | None = None, keys: tu
     Zero-width gaps are given between two spans that touch, if asked for.
     """
     key = list(keys)
-    before = Window.partitionBy(*key).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    rows = spans.select(*key, "start", "stop").join(bounds.select(*key, F.col("start").alias("_from"), F.col("stop").alias("_to")), key)
-    rows = rows.withColumn("_at", F.coalesce(F.max("stop").over(before), F.col("_from"))).withColumn("_first", F.row_number().over(Window.partitionBy(*key).orderBy("start", "stop")) == 1)
-    wide = F.col("start") > F.col("_at")
-    inner = rows.where(wide | (F.lit(zero_width) & ~F.col("_first") & (F.col("start") == F.col("_at")))).select(*key, F.col("_at").alias("start"), F.col("start").alias("stop"))
-    ends = rows.groupBy(*key).agg(F.max("stop").alias("start"), F.first("_to").alias("stop")).where("start < stop")
-    none = bounds.join(spans.select(*key).distinct(), key, "left_anti").where("start < stop").select(*key, "start", "stop")
-    return inner.unionByName(ends).unionByName(none).withColumn("label", F.lit(label).cast("string"))
+    # The bounds are a last row of each key, so one window over both tells every gap.
+    none = F.lit(None).cast("int")
+    own = spans.select(*key, F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), none.alias("_from"), F.lit(0).alias("_end"))
+    ends = bounds.select(*key, F.col("stop").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("start").cast("int").alias("_from"), F.lit(1).alias("_end"))
+    w = Window.partitionBy(*key).orderBy("_end", "start", "stop")
+    rows = own.unionByName(ends).withColumn("_from", F.max("_from").over(Window.partitionBy(*key))).where("_from IS NOT NULL")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_at", F.coalesce(before, F.col("_from"))).withColumn("_first", F.row_number().over(w) == 1)
+    touching = F.lit(zero_width) & (F.col("_end") == 0) & ~F.col("_first") & (F.col("start") == F.col("_at"))
+    return rows.where((F.col("start") > F.col("_at")) | touching).select(*key, F.col("_at").alias("start"), F.col("start").alias("stop"), F.lit(label).cast("string").alias("label"))
 
 
 def split_pieces(marks: DataFrame, bounds: DataFrame, keep: str = "none", label: str | None = None, mark_label: str | None = None, whole: bool = True, limit: int | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

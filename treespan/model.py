@@ -59,6 +59,9 @@ def normalize_span(length: Column, start: Column | None = None, stop: Column | N
     return a, F.greatest(a, end(stop, length))
 
 
+BLOCK = 512  # characters
+
+
 def roots(docs: DataFrame, label: str | None = "doc") -> DataFrame:
     """One root segment a document."""
     zero = F.lit(0)
@@ -67,9 +70,20 @@ def roots(docs: DataFrame, label: str | None = "doc") -> DataFrame:
 
 def with_text(segments: DataFrame, docs: DataFrame, name: str = "substring") -> DataFrame:
     """``segments`` with their substrings; the text is joined as late as this, and isn't returned."""
-    text = docs.select("doc_id", F.col("text").alias("_text"))
-    out = segments.join(text, "doc_id")
-    return out.withColumn(name, F.substring("_text", F.col("start") + 1, F.col("stop") - F.col("start"))).drop("_text")
+    out = segments.join(docs.select("doc_id", blocks(F.col("text")).alias("_text")), "doc_id")
+    return out.withColumn(name, cut(F.col("_text"), F.col("start"), F.col("stop"))).drop("_text")
+
+
+def blocks(text: Column) -> Column:
+    """A text as blocks of BLOCK characters, so that a span is cut out without a walk from the text's start."""
+    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int")), lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK))))
+
+
+def cut(held: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` to ``stop`` of a text held as ``blocks``."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(F.greatest(stop - 1, start) / BLOCK).cast("int")
+    near = F.when(first == last, F.get(held, first)).otherwise(F.array_join(F.slice(held, first + 1, last - first + 1), ""))
+    return F.substring(near, start - first * BLOCK + 1, stop - start)
 
 
 def line_word_tree(docs: DataFrame, root: str | None = "doc", line: str | None = "line", word: str | None = "word", line_label: Column | None = None) -> DataFrame:
@@ -92,9 +106,10 @@ def line_word_tree(docs: DataFrame, root: str | None = "doc", line: str | None =
     nodes = F.filter(F.array(F.when((F.col("k") == 0) & (F.col("lpos") == 0), top), F.when(F.col("k") == 0, lead), F.when(F.length("w") > 0, own)), lambda x: x.isNotNull())
     flat = words.select("doc_id", "lpos", "k", F.explode(nodes).alias("n")).select("doc_id", "lpos", "k", "n.*")
     w = Window.partitionBy("doc_id").orderBy("lpos", "k", "depth")
-    to_end = w.rowsBetween(1, Window.unboundedFollowing)
     flat = flat.withColumn("pre", F.row_number().over(w) - 1)
-    next_line = F.min(F.when(F.col("depth") == 1, F.col("pre"))).over(to_end)
+    # Back from the end, so that each frame grows by a row: the same over what follows would be summed anew for each row.
+    back = Window.partitionBy("doc_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
+    next_line = F.last(F.when(F.col("depth") == 1, F.col("pre")), ignorenulls=True).over(back)
     count = F.count("*").over(Window.partitionBy("doc_id")).cast("int")
     line_pre = F.max(F.when(F.col("depth") == 1, F.col("pre"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = flat.withColumn("last", F.when(F.col("depth") == 0, count - 1).when(F.col("depth") == 1, F.coalesce(next_line, count) - 1).otherwise(F.col("pre")))

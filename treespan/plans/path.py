@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import with_text
+
 AXES = ("....", "...", "..", ".", "><", "***", "**", "*", "<<<", "<<", "<", ">>>", ">>", ">")
 _AXIS = re.compile(r"\s*([+-]?)(><|\.{1,4}|\*{1,3}|<{1,3}|>{1,3})(!{0,2})")
 KEYS = {
@@ -381,8 +383,7 @@ class Compiler:
             if kinds & {"text", "fold", "fold-end", "fold-start", "end", "start"}:
                 if self.docs is None:
                     raise PathError("the path tests substrings, but no documents are given")
-                text = self.docs.select("doc_id", F.col("text").alias("_text"))
-                out = out.join(text, "doc_id").withColumn("_sub", F.substring("_text", F.col("start") + 1, F.col("stop") - F.col("start"))).drop("_text")
+                out = with_text(out, self.docs, "_sub")
                 if any(k.startswith("fold") for k in kinds):
                     from ..functions.text import casefold
 
@@ -479,5 +480,5 @@ class Compiler:
 
     def matches(self, node: Exists, rows: DataFrame) -> DataFrame:
         """(doc_id, pre) of the nodes among ``rows`` from which the path finds something."""
-        start = rows.select("doc_id", "pre").distinct().join(self.segments, ["doc_id", "pre"]).withColumn("origin", F.col("pre")).withColumn("key", F.array().cast("array<int>"))
+        start = rows.dropDuplicates(["doc_id", "pre"]).withColumn("origin", F.col("pre")).withColumn("key", F.array().cast("array<int>"))
         return self.steps(node.path, start.select(*self.columns, "origin", "key"), False).select("doc_id", F.col("origin").alias("pre")).distinct()

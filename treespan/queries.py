@@ -316,11 +316,11 @@ def nlp_counts(spark: SparkSession, folder: str) -> DataFrame:
 @register("flagship_sections")
 def flagship_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences that mention a number and are not the first of their paragraph, with their words counted."""
-    own = nlp.segment_nlp(docs(spark, folder))
-    hits = find_all("**[d:sentence] & [i:1-]{*[d:number]}", own, ordered=False).select("doc_id", "pre", "last", "start", "stop")
-    words = own.where("label = 'word'").select(F.col("doc_id").alias("d"), F.col("pre").alias("p"))
-    counted = hits.join(words, (F.col("doc_id") == F.col("d")) & (F.col("p") > F.col("pre")) & (F.col("p") <= F.col("last")), "left")
-    return counted.groupBy("doc_id", "pre", "start", "stop").agg(F.count("p").alias("words"))
+    own = nlp.segment_nlp(docs(spark, folder)).persist()  # the Python pass runs once, not at each step
+    hits = find_all("**[d:sentence] & [i:1-]{*[d:number]}", own, ordered=False).select("doc_id", "pre", "start", "stop")
+    # Words are children of their sentence.
+    words = own.where("label = 'word'").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.count("*").alias("words"))
+    return hits.join(words, ["doc_id", "pre"], "left").select("doc_id", "pre", "start", "stop", F.coalesce("words", F.lit(0)).alias("words"))
 
 
 @register("paragraphs_native", r"""SELECT doc_id, 0 AS start, length(text)::INT AS stop, 'paragraph' AS label FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '\n[ \t\r]*\n')""")
