@@ -104,6 +104,7 @@ path_query("filter_label_negated", "**!![~d:word]", f"SELECT {NODE} FROM seg WHE
 path_query("filter_string", "**[s:the,und,la]", f"SELECT {NODE} FROM seg WHERE pre > 0 AND sub IN ('the', 'und', 'la')")
 path_query("filter_casefold", "**[d:word] & [scf:THE,Und]", f"SELECT {NODE} FROM seg WHERE label = 'word' AND lower(sub) IN ('the', 'und')")
 path_query("filter_casefold_affix", "**[d:word] & ([scfsw:UN,pre] | [scfew:ING,tion])", f"SELECT {NODE} FROM seg WHERE label = 'word' AND (lower(sub) LIKE 'un%' OR lower(sub) LIKE 'pre%' OR lower(sub) LIKE '%ing' OR lower(sub) LIKE '%tion')")
+path_query("filter_brackets", "**[d:word] & ([ssw:a] | ([ssw:b] & ~[sew:e]))", f"SELECT {NODE} FROM seg WHERE label = 'word' AND (starts_with(sub, 'a') OR (starts_with(sub, 'b') AND NOT ends_with(sub, 'e')))")
 path_query("filter_affix", "**[d:word] & [ssw:a,de] & ~[sew:s,n]", f"SELECT {NODE} FROM seg WHERE label = 'word' AND (starts_with(sub, 'a') OR starts_with(sub, 'de')) AND NOT (ends_with(sub, 's') OR ends_with(sub, 'n'))")
 path_query("filter_index", "*/*[i:0,2-4,7-]", f"SELECT {NODE} FROM seg WHERE depth = 2 AND (ord = 0 OR ord BETWEEN 2 AND 3 OR ord >= 7)")
 path_query("filter_last", "*/-*[i:0]", f"SELECT {NODE} FROM (SELECT *, max(ord) OVER (PARTITION BY doc_id, parent) AS top FROM seg) WHERE depth = 2 AND ord = top")
@@ -164,6 +165,85 @@ def text_functions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("text_places", r"""SELECT p_partkey, (CASE WHEN instr(p_name, ' ') > 0 THEN length(p_name) - instr(reverse(p_name), ' ') ELSE 0 END)::INT AS tail_cut, (instr(p_type, ' ') - 1)::INT AS first_blank, (length(p_type) - instr(reverse(p_type), ' '))::INT AS last_blank,
+CASE WHEN starts_with(p_type, 'STANDARD ') THEN 9 ELSE 0 END AS prefix_cut, (length(p_type) - CASE WHEN ends_with(p_type, 'STEEL') THEN 5 ELSE 0 END)::INT AS suffix_cut FROM part WHERE instr(p_type, ' ') > 0""")
+def text_places(spark: SparkSession, folder: str) -> DataFrame:
+    s, t = F.col("p_name"), F.col("p_type")
+    return table(spark, folder, "part").where("instr(p_type, ' ') > 0").select(
+        "p_partkey", tx.rpartition(s, " ")[0]["stop"].alias("tail_cut"), tx.index(t, " ").alias("first_blank"), tx.rindex(t, " ").alias("last_blank"),
+        tx.remove_prefix(t, "STANDARD ")["start"].alias("prefix_cut"), tx.remove_suffix(t, "STEEL")["stop"].alias("suffix_cut"),
+    )
+
+
+CLASS_TESTS = {
+    "isalpha": "[A-Za-z]+", "isalnum": "[A-Za-z0-9]+", "isdigit": "[0-9]+", "isdecimal": "[0-9]+", "isnumeric": "[0-9]+", "isspace": "[ \\t\\n]+", "islower": "[^A-Za-z]*[a-z][^A-Z]*", "isupper": "[^A-Za-z]*[A-Z][^a-z]*",
+    "isidentifier": "[A-Za-z_][A-Za-z0-9_]*", "isprintable": "[\\x20-\\x7e]*", "istitle": "[^A-Za-z]*[A-Z][a-z]*([^A-Za-z]+([A-Z][a-z]*)?)*", "isascii": "[\\x00-\\x7f]*",
+}
+
+
+@register("class_tests", "WITH w AS (SELECT DISTINCT unnest(string_split(p_name || ' ' || p_brand || ' ' || p_type, ' ')) AS w FROM part UNION SELECT unnest(['12', 'Ab', 'aB', 'A1', '_x', 'A-b', '', ' ', 'Ab Cd'])) SELECT w, " + ", ".join(f"regexp_full_match(w, '{v}') AS {k}" for k, v in CLASS_TESTS.items()) + " FROM w")
+def class_tests(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ")).alias("w"))
+    rows = rows.union(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("12", "Ab", "aB", "A1", "_x", "A-b", "", " ", "Ab Cd")])).alias("w"))).distinct()
+    return rows.select("w", *[tx.is_class(F.col("w"), k).alias(k) for k in CLASS_TESTS])
+
+
+#: Words of part names with their spans, and the same by several ways of cutting.
+_WORD_SPANS = """WITH p AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS k FROM part),
+s AS (SELECT p_partkey, (sum(length(w) + 1) OVER (PARTITION BY p_partkey ORDER BY k) - length(w) - 1)::INT AS start, (sum(length(w) + 1) OVER (PARTITION BY p_partkey ORDER BY k) - 1)::INT AS stop, k FROM p) """
+
+
+def word_spans(name: str, spans: Callable, sql: str = "SELECT p_partkey, start, stop FROM s") -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return table(spark, folder, "part").select("p_partkey", F.explode(spans(F.col("p_name"))).alias("x")).select("p_partkey", "x.start", "x.stop")
+
+    register(name, _WORD_SPANS + sql)(run)
+
+
+word_spans("split_at_blanks", lambda s: tx.split_spans(s))
+word_spans("split_from_the_right", lambda s: tx.split_spans(s, " ", 1, right=True), """, m AS (SELECT *, count(*) OVER (PARTITION BY p_partkey) AS n FROM s)
+SELECT p_partkey, start, stop FROM m WHERE k = n UNION ALL SELECT p_partkey, 0, max(stop)::INT FROM m WHERE k < n GROUP BY p_partkey""")
+word_spans("lines_of_text", lambda s: tx.line_spans(F.replace(s, F.lit(" "), F.lit("\n"))))
+word_spans("regex_finds", lambda s: tx.regex_spans(s, F.lit(0), F.length(s), "[^ ]+"))
+word_spans("regex_splits", lambda s: tx.regex_spans(s, F.lit(0), F.length(s), " ", "split"))
+word_spans("split_at_unescaped", lambda s: tx.unescaped_split(F.replace(s, F.lit(" "), F.lit(",")), ","))
+word_spans("balanced_parts", lambda s: tx.balanced_spans(F.concat(F.lit("("), F.replace(s, F.lit(" "), F.lit(")(")), F.lit(")")), "(", ")"), "SELECT p_partkey, (start + k - 1)::INT AS start, (stop + k + 1)::INT AS stop FROM s")
+word_spans("regex_searches", lambda s: tx.regex_spans(s, F.lit(0), F.length(s), "[^ ]+", "search"), "SELECT p_partkey, start, stop FROM s WHERE k = 1")
+
+
+@register("escape_places", _WORD_SPANS + "SELECT p_partkey, start - 1 AS place, true AS escape FROM s WHERE k > 1 UNION ALL SELECT p_partkey, start - 1, false FROM s WHERE k > 1")
+def escape_places(spark: SparkSession, folder: str) -> DataFrame:
+    own, s = table(spark, folder, "part"), F.col("p_name")
+    slashes = own.select("p_partkey", F.explode(tx.escape_places(F.replace(s, F.lit(" "), F.lit("\\")))).alias("place"), F.lit(True).alias("escape"))
+    return slashes.unionByName(own.select("p_partkey", F.explode(tx.unescaped_places(F.replace(s, F.lit(" "), F.lit(";")), ";")).alias("place"), F.lit(False).alias("escape")))
+
+
+@register("nested_spans", TREE + "SELECT doc_id, label, depth, count(*) AS n, sum(last - pre)::BIGINT AS below FROM (SELECT doc_id, label, depth, pre, last FROM seg WHERE stop > start AND NOT EXISTS (SELECT 1 FROM seg e WHERE e.doc_id = seg.doc_id AND e.stop = e.start)) GROUP BY doc_id, label, depth")
+def nested_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Trees made anew by containment from their bare spans, of documents without an empty line."""
+    own = tree(spark, folder)
+    whole = own.join(own.where("stop = start").select("doc_id").distinct(), "doc_id", "left_anti").withColumn("emit_no", F.col("pre"))
+    return model.nest(whole).groupBy("doc_id", "label", "depth").agg(F.count("*").alias("n"), F.sum(F.col("last") - F.col("pre")).alias("below"))
+
+
+@register("characters_of_words", TREE + "SELECT doc_id, sum(stop - start)::BIGINT AS n, sum((stop - start) * (start + stop - 1) / 2)::BIGINT AS places FROM seg WHERE label = 'word' GROUP BY doc_id")
+def characters_of_words(spark: SparkSession, folder: str) -> DataFrame:
+    out = sg.characters(tree(spark, folder).where("label = 'word'"))
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("places"))
+
+
+@register("sub_segments", TREE + "SELECT doc_id, pre, (start + least(1, stop - start))::INT AS start, greatest(stop - 1, start + least(1, stop - start))::INT AS stop FROM seg WHERE label = 'word'")
+def sub_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return sg.sub_segment(tree(spark, folder).where("label = 'word'"), 1, -1).select("doc_id", "pre", "start", "stop")
+
+
+@register("successive_parts", "SELECT p_partkey, label, start, stop FROM (SELECT p_partkey, unnest([{'label': 'a', 'start': 0, 'stop': 4}, {'label': 'b', 'start': 5, 'stop': 7}]) AS x FROM part) t, LATERAL (SELECT x.label AS label, x.start AS start, x.stop AS stop)")
+def successive_parts(spark: SparkSession, folder: str) -> DataFrame:
+    own = table(spark, folder, "part").select("p_partkey", F.lit("some of it").alias("text"))
+    parts = F.concat(store.successive(F.col("text"), ["some"], "a"), F.transform(store.successive(F.substring("text", 5, 99), ["of"], "b"), lambda x: x.withField("start", x["start"] + 4).withField("stop", x["stop"] + 4)))
+    return own.select("p_partkey", F.explode(parts).alias("x")).select("p_partkey", "x.label", "x.start", "x.stop")
+
+
 @register("line_col_of_match", r"""SELECT doc_id, place, (length(left(text, place)) - length(replace(left(text, place), chr(10), '')) + 1)::INT AS line,
 CASE WHEN instr(left(text, place), chr(10)) = 0 THEN place + 1 ELSE instr(reverse(left(text, place)), chr(10)) END::INT AS col
 FROM (SELECT doc_id, text, (instr(text, 'e') - 1)::INT AS place FROM documents) WHERE place >= 0""")
@@ -262,10 +342,13 @@ def documents_of_many_lines(spark: SparkSession, folder: str) -> DataFrame:
     return tree(spark, folder).where("label = 'line'").groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 10")
 
 
-@register("value_join", TREE + "SELECT l.doc_id, l.pre, b.item_id FROM seg l JOIN benchmark b ON l.sub = b.text WHERE l.label = 'line'")
+@register("value_join", TREE + """, again AS (SELECT sub, count(DISTINCT doc_id) AS docs FROM seg WHERE label = 'line' AND sub <> '' GROUP BY sub HAVING count(DISTINCT doc_id) > 1)
+SELECT l.doc_id, l.pre, a.docs FROM seg l JOIN again a ON l.sub = a.sub WHERE l.label = 'line'""")
 def value_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that other documents hold too, with the number of documents."""
     lines = model.with_text(tree(spark, folder).where("label = 'line'"), docs(spark, folder))
-    return sg.value_join(lines, table(spark, folder, "benchmark").withColumnRenamed("text", "substring"), ()).select("doc_id", "pre", F.col("item_id_r").alias("item_id"))
+    again = lines.where("substring <> ''").groupBy("substring").agg(F.countDistinct("doc_id").alias("docs")).where("docs > 1")
+    return sg.value_join(lines, again, ()).select("doc_id", "pre", F.col("docs_r").alias("docs"))
 
 
 @register("label_rollup", TREE + "SELECT doc_id, label, count(*) AS n, sum(stop - start)::BIGINT AS chars, grouping(doc_id, label) AS level FROM seg GROUP BY ROLLUP (doc_id, label)")
@@ -323,9 +406,44 @@ def flagship_sections(spark: SparkSession, folder: str) -> DataFrame:
     return hits.join(words, ["doc_id", "pre"], "left").select("doc_id", "pre", "start", "stop", F.coalesce("words", F.lit(0)).alias("words"))
 
 
-@register("paragraphs_native", r"""SELECT doc_id, 0 AS start, length(text)::INT AS stop, 'paragraph' AS label FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '\n[ \t\r]*\n')""")
+#: Paragraphs and sentences of texts in which every line end is doubled, with blanks between.
+_PARTS = r"""WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || ' ' || chr(9) || chr(10)) AS text FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, string_split_regex(text, '(?:[ \t\r]*\n){2,}') AS piece, regexp_extract_all(text, '(?:[ \t\r]*\n){2,}') AS sep FROM d),
+y AS (SELECT doc_id, unnest(piece) AS piece, generate_subscripts(piece, 1) AS k, sep FROM x),
+z AS (SELECT doc_id, piece, sum(length(piece) + coalesce(length(sep[k]), 0)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) - coalesce(length(sep[k]), 0) AS a FROM y)
+SELECT doc_id, a::INT AS start, (a + length(piece))::INT AS stop, 'paragraph' AS label FROM z WHERE piece <> ''"""
+
+
+def spaced(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n \t\n")).alias("text"))
+
+
+@register("paragraphs_native", _PARTS)
 def paragraphs_native(spark: SparkSession, folder: str) -> DataFrame:
-    return nlp.paragraph_spans(docs(spark, folder))
+    return nlp.paragraph_spans(spaced(spark, folder))
+
+
+@register("paragraphs_stage", _PARTS)
+def paragraphs_stage(spark: SparkSession, folder: str) -> DataFrame:
+    out = stages.segment(spaced(spark, folder), nlp.Paragraph().stage()).where("label = 'paragraph' AND stop > start")
+    return out.select("doc_id", "start", "stop", "label")
+
+
+_B = "".join(f"\\x{{{ord(c):x}}}" for c in nlp.BLANKS)
+_SHUT, _OPEN = ("".join(f"\\x{{{ord(c):x}}}" for c in sorted(x)) for x in (nlp.CLOSING, nlp.OPENING))
+_OR = lambda xs: "|".join(x.replace(".", "\\.") for x in xs)
+
+
+@register("sentence_counts", rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^{_B}]+') AS w, regexp_extract_all(text, '[{_B}]+') AS g, CASE WHEN regexp_matches(text, '^[{_B}]') THEN 1 ELSE 0 END AS lead FROM documents WHERE length(text) > 0),
+u AS (SELECT doc_id, w[i] AS w, w[i - 1] AS before, g[i - 1 + lead] AS gap_before, w[i + 1] AS nx, g[i + lead] AS gap, g[i + 1 + lead] AS gap_after FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
+e AS (SELECT doc_id, (nx IS NOT NULL AND regexp_matches(w, '[\p{{L}}\p{{N}}\p{{M}}_](?:\.|\.{{3,}}|…|[!?]+)[{_SHUT}]*$') AND (length(gap) > 1
+  OR (gap_after IS NOT NULL AND regexp_matches(nx, '^[{_OPEN}]*(?:{_OR(nlp.STARTS)})$'))
+  OR (regexp_matches(nx, '^[{_OPEN}]*[A-Z\p{{Nd}}]') AND NOT regexp_matches(w, '(?:{_OR(nlp.ABBREVIATIONS)})$') AND NOT (regexp_matches(nx, '^\p{{Nd}}') AND regexp_matches(w, '(?:{_OR(nlp.BEFORE_NUMBERS)})$'))
+    AND NOT (regexp_matches(w, 'U\.S\.$') AND starts_with(nx, 'Government')) AND NOT coalesce(regexp_matches(w, '^[A-Z]\.$') AND length(gap_before) = 1 AND regexp_matches(before, '[A-Z][a-z]+$') AND regexp_matches(nx, '^[A-Z][a-z]'), false)))) AS stop FROM u)
+SELECT t.doc_id, 1 + coalesce(sum(stop::INT), 0)::BIGINT AS n FROM t LEFT JOIN e ON t.doc_id = e.doc_id GROUP BY t.doc_id""")
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    out = stages.segment(docs(spark, folder).where("length(text) > 0"), nlp.sentences()).where("label = 'sentence' AND stop > start")
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @register("rule_hits", r"""SELECT doc_id, 'number' AS path, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) FROM documents) GROUP BY doc_id
