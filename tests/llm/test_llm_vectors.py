@@ -97,6 +97,30 @@ def test_search_of_odd_vectors(spark):
     assert [r.vec_id for r in ties] == list(range(1, 21))
 
 
+def test_lengths_are_spaces_of_their_own(spark):
+    x = [[1.0, 0.0], [2.0, 0.0], [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multiindex.near_duplicates(frame(spark, x)).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in collision.search(frame(spark, x), modulus=2).collect())
+    assert found == [(0, 1, 1), (0, 2, 4), (2, 1, 3), (4, 1, 0), (4, 2, 1)]
+
+
+def test_a_part_of_the_rows_is_verified(monkeypatch):
+    """Of both indexes: most rows are never compared with a query."""
+    rng = np.random.default_rng(5)
+    x, seen = rng.normal(size=(8000, 64)), []
+    real = collision.Windows.candidates
+    monkeypatch.setattr(collision.Windows, "candidates", lambda self, at, need: seen.append(len(r := real(self, at, need))) or r)
+    ids = np.arange(8000)
+    collision.search_block(ids, x, ids[:100], x[:100], 20, collision.SHARE, 1)
+    assert len(seen) == 100 and np.mean(seen) <= 0.25 * 8000
+    near = multiindex.unit(np.repeat(x[:1000], 8, axis=0) + 0.1 * rng.normal(size=(8000, 64)))
+    grid = multiindex.Grid(near[:4000], 8000, 0.9, 0.98)
+    home, cell = grid.home(near), grid.visited(near[:500])
+    count = np.bincount(home, minlength=len(grid.books[0]) * len(grid.books[1]))
+    assert count[cell].sum(axis=1).mean() <= 0.25 * 8000
+
+
 def test_queries(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])

@@ -4,33 +4,33 @@ Largest inner products become nearest points by one more coordinate: rows get
 sqrt(M^2 - |x|^2), M the largest norm, queries 0. A block of rows has, for each of PROJECTIONS
 random directions, its rows sorted by their projection. Around a query's own projection a window
 is opened in each sorted array and widened by the same factor in all (virtual rehashing: no table
-is built again); rows in a window collide with the query there. Once at least ``share`` of the
-block's rows have collided THRESHOLD of the times, those rows are verified: exact inner products
-in double precision of the original vectors, the largest kept. ``share`` and THRESHOLD are set so
-that recall against brute force is over 0.95 (see the README); blocks of up to
-LEAST rows are verified whole.
+is built again); rows in a window collide with the query there. Windows stop once ``share`` of the
+block's rows, LEAST at least, have collided THRESHOLD of the times; those rows are verified: exact
+inner products in double precision of the original vectors, the largest kept. ``share`` and
+THRESHOLD are set by recall against brute force (figures in the README).
 
 The queries are dealt into chunks and the rows into blocks, both bounded; each pair of them is one
 task's group and gives at most ``k`` rows a query.
 
-Defined results: vectors that are null, empty, zero, hold null or non-finite components or aren't
-of the commonest length take no part, nor do null ids; rows of the query's own id aren't its
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
+part, nor do null ids; vectors of another length than the query's aren't its candidates; rows of the query's own id aren't its
 candidates; equal scores go by smaller id; equal rows of one id are candidates each; a query
 without candidates, and an empty table, give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .vectors import matrix, taking_part
+from .vectors import matrix, spaces
 
-PROJECTIONS, THRESHOLD, SHARE, WIDEN = 64, 0.6, 0.35, 1.25
-LEAST = 400  # rows verified of a block at least
+PROJECTIONS, THRESHOLD, SHARE, WIDEN = 128, 0.75, 0.08, 1.1
+LEAST = 400  # rows of a block that collide often enough before its windows stop, at least
 BLOCK, CHUNK = 8_192, 1_024
 
 
@@ -40,8 +40,9 @@ class Windows:
     def __init__(self, spots: np.ndarray):
         self.m, self.n = spots.shape
         order = np.argsort(spots, axis=1, kind="stable")
-        self.place = np.empty(spots.shape, np.uint16)  # of each row in each sorted array; blocks have 65,536 rows at most
-        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(self.n, dtype=np.uint16), spots.shape), axis=1)
+        self.kind = np.uint16 if self.n < 65_000 else np.uint32
+        self.place = np.empty(spots.shape, self.kind)  # of each row in each sorted array
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(self.n, dtype=self.kind), spots.shape), axis=1)
         low, high = spots.min(), spots.max()
         # One sorted array for all projections: each is moved beyond the one before.
         self.step = 4 * max(high - low, 1e-9) + 1
@@ -60,7 +61,7 @@ class Windows:
         while True:
             a, b = self.ends(at - width, "left"), self.ends(at + width, "right")
             # A row is in a window if its place is; places before it wrap round to large numbers.
-            inside = (self.place - a.astype(np.uint16)[:, None]) < (b - a).clip(max=65_535).astype(np.uint16)[:, None]
+            inside = (self.place - a.astype(self.kind)[:, None]) < (b - a).astype(self.kind)[:, None]
             count = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
             found = np.flatnonzero(count >= THRESHOLD * self.m)
             if len(found) >= need:
@@ -97,9 +98,18 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
 
 def search(df: DataFrame, modulus: int = 20, k: int = 20, share: float = SHARE, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` rows of largest inner product found for each row whose id ``modulus`` divides."""
-    rows = written(taking_part(df, id_col, vector_col), "vectors")
+    found = [found_in(rows, modulus, k, share, seed) for rows in spaces(df, id_col, vector_col)]
+    if not found:
+        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return functools.reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def found_in(rows: DataFrame, modulus: int, k: int, share: float, seed: int) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score`` of the best ``k`` rows of each block, among vectors of one length."""
     total = rows.count()
-    queries = rows.where(F.col("id") % modulus == 0).dropDuplicates(["id"])
+    # Of several vectors of one query id the smallest is asked for, so any run asks alike.
+    queries = rows.where(F.col("id") % modulus == 0).groupBy("id").agg(F.min("v").alias("v"))
     asked = queries.count()
     block = min(max(BLOCK, total // 64), 65_536)
     blocks, chunks = max(1, -(-total // block)), max(1, -(-asked // CHUNK))
@@ -113,6 +123,4 @@ def search(df: DataFrame, modulus: int = 20, k: int = 20, share: float = SHARE,
         q, vec, score = search_block(ids[~is_query], v[~is_query], ids[is_query], v[is_query], k, share, seed) if (~is_query).any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": q, "vec_id": vec, "score": score})
 
-    found = data.unionByName(asking).groupBy("block", "chunk").applyInArrow(run, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return data.unionByName(asking).groupBy("block", "chunk").applyInArrow(run, "query_id bigint, vec_id bigint, score double")

@@ -10,11 +10,12 @@ are found more often. What is visited is verified in double precision.
 
 Equal vectors are one, with a weight. Cells are packed into blocks of at most about BLOCK members
 (a larger cell is split over several), a block's visitors into parts of at most about VISITORS,
-so a cell or group of any share is spread, and no pair of vectors is ever a row: each part gives
+so a cell or group of any share is spread; within a part each visitor is compared with the members of
+the cells it visits, no others, and no pair of vectors is ever a row: each part gives
 link counts of its visitors and a spanning forest of its links, from which the components come.
 
-Defined results: vectors that are null, empty, zero, hold null or non-finite components or aren't
-of the commonest length link with nothing, and neither does a null id; rows of one id are one node;
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
+nothing, and neither does a null id; vectors of different lengths aren't compared; rows of one id are one node;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import ragged
 from .common import col, written
 from .graph import components
-from .vectors import matrix, taking_part, usable
+from .vectors import matrix, spaces, usable
 
 SAMPLE, MOVED = 8_192, 2_000  # vectors the codebooks are fitted on, and calibrated on, at most
+CENTRES = 1_024  # of a codebook at most: a million cells
 BLOCK, VISITORS = 1_024, 2_048
 
 
@@ -58,7 +61,7 @@ class Grid:
     def __init__(self, sample: np.ndarray, total: int, least: float, recall: float, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.half = max(1, sample.shape[1] // 2)
-        k = int(np.clip(2 ** round(np.log2(max(total, 1) ** 0.5 / 4 + 1)), 1, 256))
+        k = int(np.clip(2 ** round(np.log2(max(total, 1) ** 0.5 / 4 + 1)), 1, CENTRES))
         self.books = [codebook(self.part(sample, h), min(k, len(sample)), rng) for h in (0, 1)]
         x = sample[:MOVED]
         noise = rng.normal(size=x.shape)
@@ -125,24 +128,45 @@ def forest(adj: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
     return nodes[out], nodes[label[out]]
 
 
+def visited_blocks(cell: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> pa.ListArray:
+    """For each row of ``cell`` (the cells that a vector visits) the blocks that hold members of these, each with its cells among them."""
+    n, width = cell.shape
+    row, c = np.repeat(np.arange(n), width), cell.ravel()
+    row, c = row[first[c] >= 0], c[first[c] >= 0]
+    block, row, c = ragged(first[c], pieces[c]), np.repeat(row, pieces[c]), np.repeat(c, pieces[c])
+    order = np.lexsort((c, block, row))
+    row, block, c = row[order], block[order], c[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, np.int64)
+    cells = pa.ListArray.from_arrays(pa.array(np.append(new, len(c)), pa.int32()), pa.array(c))
+    pairs = pa.StructArray.from_arrays([pa.array(block[new]), cells], ["block", "cells"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(n + 1)), pa.int32()), pairs)
+
+
 def near_duplicates(df: DataFrame, least: float = 0.9, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id_col``, ``n_links`` (other vectors found with cosine >= least), ``component_id`` (smallest id reachable), ``kept``."""
-    spark = df.sparkSession
-    rows = written(taking_part(df, id_col, vector_col).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(1))), "vectors")
+    rest = df.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v"))
+    out = rest.where(~(F.col("id").isNotNull() & usable(F.col("v")))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for rows in spaces(df, id_col, vector_col):
+        out = out.unionByName(linked(rows, least, recall))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def linked(rows: DataFrame, least: float, recall: float) -> DataFrame:
+    """``id``, ``n_links``, ``component_id`` of the vectors (id, v) of one length."""
+    spark = rows.sparkSession
+    rows = written(rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v")), "vectors")
     one = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v")), "distinct")
     total = one.count()
-    if not total:
-        return df.select(col(id_col), F.lit(0).cast("long").alias("n_links"), col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     sample = unit(matrix(one.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column(0)))
     grid = Grid(sample, total, least, recall)
-    shared = spark.sparkContext.broadcast(grid)  # two codebooks of at most 256 centres
+    shared = spark.sparkContext.broadcast(grid)  # two codebooks of at most CENTRES centres
     cells = len(grid.books[0]) * len(grid.books[1])
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.home(unit(matrix(batch.column(0)))))], ["cell"])
 
-    counts = {r["cell"]: r["count"] for r in one.select("v").mapInArrow(homes, "cell bigint").groupBy("cell").count().collect()}  # at most 256 x 256 cells
+    counts = {r["cell"]: r["count"] for r in one.select("v").mapInArrow(homes, "cell bigint").groupBy("cell").count().collect()}  # at most CENTRES x CENTRES cells
     first, pieces = pack(counts, cells)
     packed = spark.sparkContext.broadcast((first, pieces))
 
@@ -154,28 +178,40 @@ def near_duplicates(df: DataFrame, least: float = 0.9, recall: float = 0.98, id_
                 ids, x = np.asarray(batch.column(0)), unit(matrix(batch.column(2)))
                 home, cell = own.home(x), own.visited(x)
                 block = at[home] + (ids * 2654435761 >> 16) % n[home]
-                seen = [np.unique(np.concatenate([np.arange(at[c], at[c] + n[c]) for c in cs[at[cs] >= 0]] or [np.zeros(0, np.int64)])) for cs in cell]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64())), pa.array(block), pa.array(seen, pa.list_(pa.int64()))], ["id", "w", "v", "block", "seen"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64())), pa.array(block), pa.array(home), visited_blocks(cell, at, n)], ["id", "w", "v", "block", "home", "seen"])
 
-    placed = written(one.select("id", "w", "v").mapInArrow(visits, "id bigint, w bigint, v array<double>, block bigint, seen array<bigint>"), "visits")
-    parts = placed.select(F.explode("seen").alias("block")).groupBy("block").agg(F.ceil(F.count("*") / VISITORS).alias("parts"))
+    kind = "id bigint, w bigint, v array<double>, block bigint, home bigint, seen array<struct<block: bigint, cells: array<bigint>>>"
+    placed = written(one.select("id", "w", "v").mapInArrow(visits, kind), "visits")
+    parts = placed.select(F.explode("seen.block").alias("block")).groupBy("block").agg(F.ceil(F.count("*") / VISITORS).alias("parts"))
     parts = written(parts, "parts")
-    members = placed.select("block", "id", "w", "v").join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), "id", "w", "v")
-    guests = placed.select(F.explode("seen").alias("block"), "id", "w", "v").join(parts, "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(False).alias("member"), "id", "w", "v")
+    members = placed.select("block", F.array("home").alias("cells"), "id", "w", "v").join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"), "cells", "id", "w", "v")
+    guests = placed.select(F.explode("seen").alias("at"), "id", "w", "v").select("at.block", "at.cells", "id", "w", "v").join(parts, "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(False).alias("member"), "cells", "id", "w", "v")
 
     def verify(table: pa.Table) -> pa.Table:
         is_member = np.asarray(table.column("member"))
         ids, w, x = np.asarray(table.column("id")), np.asarray(table.column("w")), matrix(table.column("v"))
-        m, q = np.flatnonzero(is_member), np.flatnonzero(~is_member)
-        links, ea, eb = np.zeros(len(q), np.int64), [], []
-        for k in range(0, len(q), 512):
-            own = q[k : k + 512]
-            adj = x[own] @ x[m].T >= least
-            adj &= ids[own][:, None] != ids[m][None, :]
-            links[k : k + 512] = adj @ w[m]
-            a, b = forest(adj, ids[own], ids[m])
-            ea.append(a)
-            eb.append(b)
+        # Cell by cell: the members of a cell and the guests that visit it.
+        lists = table.column("cells").combine_chunks()
+        at = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
+        cell = np.asarray(lists.flatten())
+        order = np.lexsort((is_member[at], cell))
+        at, cell = at[order], cell[order]
+        links, ea, eb = np.zeros(len(ids), np.int64), [], []
+        for group in np.split(at, np.flatnonzero(np.diff(cell)) + 1) if len(at) else []:
+            q, m = group[~is_member[group]], group[is_member[group]]
+            if not len(m):
+                continue
+            for k in range(0, len(q), 512):
+                own = q[k : k + 512]
+                adj = x[own] @ x[m].T >= least
+                adj &= ids[own][:, None] != ids[m][None, :]
+                if adj.any():
+                    links[own] += adj @ w[m]
+                    a, b = forest(adj, ids[own], ids[m])
+                    ea.append(a)
+                    eb.append(b)
+        q = np.flatnonzero(~is_member)
+        links = links[q]
         some = links > 0
         a, b = (np.concatenate(e or [np.zeros(0, np.int64)]) for e in (ea, eb))
         return pa.table({"id": np.concatenate([ids[q][some], a]), "links": np.concatenate([links[some], np.zeros(len(a), np.int64)]), "to": pa.array(np.concatenate([np.zeros(int(some.sum()), np.int64), b]), mask=np.concatenate([np.ones(int(some.sum()), bool), np.zeros(len(b), bool)]))})
@@ -185,8 +221,4 @@ def near_duplicates(df: DataFrame, least: float = 0.9, recall: float = 0.98, id_
     known = components(found.where("to IS NOT NULL").select("id", "to"))
     of = one.select("h1", "h2", "id", "w").join(links, "id", "left").join(known.withColumnRenamed("node", "id"), "id", "left")
     of = of.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    done = rows.select("id", "h1", "h2").join(of, ["h1", "h2"]).select("id", "n_links", "component_id")
-    rest = df.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v"))
-    size = sample.shape[1]
-    rest = rest.where(~(F.col("id").isNotNull() & usable(F.col("v")) & (F.coalesce(F.size("v"), F.lit(-1)) == size))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return done.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.select("id", "h1", "h2").join(of, ["h1", "h2"]).select("id", "n_links", "component_id")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, written
 
 
 def usable(v: Column) -> Column:
@@ -16,14 +16,12 @@ def usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def taking_part(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id`` and ``v`` array<double> of the rows that take part: vectors of the commonest length that are usable, with an id.
-
-    Vectors of other lengths are of another space, so they are compared with nothing.
-    """
+def spaces(df: DataFrame, id_col: str, vector_col: str) -> list[DataFrame]:
+    """``id`` and ``v`` array<double> of the usable vectors with an id, a written table for each length: only vectors of one length can be compared."""
     rows = df.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (lengths[0].d if lengths else 0))
+    rows = written(rows.withColumn("d", F.size("v")), "vectors")
+    lengths = sorted(r.d for r in rows.select("d").distinct().collect())  # one row a length
+    return [rows.where(F.col("d") == d).select("id", "v") for d in lengths]
 
 
 def matrix(column: pa.Array, dtype=float) -> np.ndarray:
