@@ -18,10 +18,12 @@ _own: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, as in tests) is one set under /tmp.
+    Only where it is unset in a local session, as in tests, is one set under /tmp; a cluster must name it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file:///tmp/treespan-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", at)
         _own.append((spark, at))

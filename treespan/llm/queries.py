@@ -36,8 +36,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(urlrules.RULES, urlrules.RULE)
-    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark, urlrules.RULES))
 
 
 def crc(name: str = "doc_id"):

@@ -22,14 +22,20 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, written
 
 RULE = "rule_host string, rule_path string, verdict string"
 
 
+def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
+    """A table of literal rules (host, path, verdict)."""
+    rows = [F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("rule_host", "rule_path", "verdict"), r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def lowered(c: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -63,7 +69,8 @@ def sweep(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """``hosts`` (host) with ``stack``, the rules whose host fits; null if there is none."""
     events = ends(rules).select("key", F.lit(None).cast("string").alias("host"), F.struct("key", "stack").alias("end"))
     events = events.unionByName(hosts.select(key(F.col("host")).alias("key"), "host"), allowMissingColumns=True)
-    cut = events.repartitionByRange("key").withColumn("cut", F.spark_partition_id())
+    # A table: the ranges are drawn once, so all three uses below, and tasks that are run again, cut alike.
+    cut = written(events.repartitionByRange("key").withColumn("cut", F.spark_partition_id()), "cuts")
     last = cut.where("end IS NOT NULL").groupBy("cut").agg(F.max("end").alias("end"))
     carried = (
         cut.select("cut").distinct().join(last, "cut", "left")
