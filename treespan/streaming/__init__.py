@@ -27,7 +27,11 @@ def sessions(events: DataFrame, gap: str, late: str, key: str, time: str = "ts")
 
 def segments_once(spark: SparkSession, path: str, stage: Stage) -> DataFrame:
     """The segments of the documents at ``path``, read as a stream, written to the shared folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/treespan-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/treespan-streams"
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     folder = path if not path.endswith(".parquet") else path.rpartition("/")[0]
