@@ -188,7 +188,7 @@ def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
 
     pairs = met(index, index, F.col("x.no") < F.col("y.no")).union(met(index, probe, F.col("x.no") != F.col("y.no")))
     pairs = written(pairs.distinct(), "pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct(), "wanted")
+    wanted = written(pairs.select(F.col("a").alias("no")).distinct().union(pairs.select("b").distinct()).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_LINES
     texts = written(distinct.join(F.broadcast(wanted) if few else wanted, "no", "left_semi").select("no", "line"), "lines")
     both = pairs.join(texts.select(F.col("no").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("no").alias("b"), F.col("line").alias("y")), "b")
