@@ -110,6 +110,29 @@ def test_pairs_follow_the_size_of_a_group(frame, spark, monkeypatch):
     assert counts[480] < 2.8 * counts[240] and counts[240] < 240 * 64
 
 
+def test_no_link_of_a_group_around_the_threshold_is_left_out(frame, monkeypatch):
+    rng, texts = random.Random(21), []
+    for k in range(3):
+        base = prose(30 + k, 200)
+        texts += [edited(base, 3, rng) for _ in range(110)]
+    want = brute(dict(enumerate(texts)))
+    assert 3 < len(set(want.values())) < len(texts)
+    assert {r.doc_id: r.group_id for r in bagminhash.classes(frame(texts)).collect()} == want
+    # The same where more open shingles go to workers, by several small blocks.
+    monkeypatch.setattr(bagminhash, "FEW", 16)
+    monkeypatch.setattr(bagminhash, "BLOCK", 40)
+    assert {r.doc_id: r.group_id for r in bagminhash.classes(frame(texts)).collect()} == want
+
+
+def test_what_texts_of_a_block_share():
+    rng = random.Random(6)
+    texts = ["x y " * 60, "x y " * 55 + prose(1, 5), *(edited(prose(k % 3, 60), 3, rng) for k in range(40)), "", "one"]
+    rows, h, count = bagminhash.shingles(pa.array(texts))
+    got = bagminhash.shared_by_all(rows, h, count, len(texts))
+    bags = [bag_of(t) for t in texts]
+    assert all(got[i, j] == sum((a & b).values()) for i, a in enumerate(bags) for j, b in enumerate(bags) if i != j)
+
+
 def test_odd_texts(frame, odd_texts):
     got = {r.doc_id: r.group_id for r in bagminhash.classes(frame(odd_texts)).collect()}
     assert got == brute(dict(enumerate(odd_texts)))
