@@ -70,6 +70,18 @@ def test_texts_without_a_known_word(frame, labelled):
         assert scores.tolist() == [own.bare] * len(some) and evidence == [[] for _ in some]
 
 
+def test_workers_count_the_votes(frame, labelled, monkeypatch):
+    """The driver makes no postings, and the calibration is that of its own leave-one-out votes."""
+    texts, _, table = labelled
+    monkeypatch.setattr(toxicity, "VOTES", 70)
+    own = toxicity.learn(frame(texts), table)
+    assert own.matrix.rows is None
+    m = own.matrix
+    votes = [own.vote(i, s) for i, s in own.all_nearest(m.row.astype(np.int64), m.term, m.weight, len(m), skip=0)]
+    edges, shares = toxicity.calibrate(np.array(votes), own.label)
+    assert len(m) > 70 and own.edges.tolist() == edges.tolist() and own.shares.tolist() == shares.tolist()
+
+
 def test_neighbours_are_the_nearest(frame, labelled):
     texts, _, table = labelled
     docs = frame(texts)

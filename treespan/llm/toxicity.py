@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, map_arrow, small_batches, written
@@ -41,6 +41,7 @@ from .words import PUNCTUATION, coded, counted, labelled, sample, slices
 SAMPLE = 12_000  # labelled examples at most
 HEAVY, BATCH, POSTINGS, ROUNDING = 128, 32, 200_000, 1e-5
 NEAREST, CALIBRATION_BINS = 15, 20
+VOTES = 1000  # of a task
 LEAN = 10.0  # the G at which a word's weight doubles
 
 
@@ -76,19 +77,20 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
 
 
 class Sparse:
-    """A matrix by rows, and its columns as postings; the heaviest columns are dense too, in single precision."""
+    """A matrix by rows, and its columns as postings; the heaviest columns are dense too, in single precision. The postings are made
+    where they are first used: on the driver the entries are held once."""
+
+    rows: np.ndarray | None = None
 
     def __init__(self, shape: tuple[int, int], row: np.ndarray, term: np.ndarray, weight: np.ndarray):
         order = np.lexsort((term, row))
-        self.shape, self.row, self.term, self.weight = shape, row[order].astype(np.int32), term[order].astype(np.int32), weight[order]
-        self.index()
+        self.shape, self.row, self.term, self.weight = shape, row.astype(np.int32, copy=False)[order], term.astype(np.int32, copy=False)[order], weight[order]
 
     def __getstate__(self) -> tuple:
         return self.shape, self.row, self.term, self.weight
 
     def __setstate__(self, state: tuple) -> None:
         self.shape, self.row, self.term, self.weight = state
-        self.index()
 
     def __len__(self) -> int:
         return self.shape[0]
@@ -97,6 +99,8 @@ class Sparse:
         return np.bincount(self.row, self.weight * q[self.term], len(self))
 
     def index(self) -> None:
+        if self.rows is not None:
+            return
         n, width = self.shape
         self.rows = np.searchsorted(self.row, np.arange(n + 1))
         size = np.bincount(self.term, minlength=width)
@@ -114,6 +118,7 @@ class Sparse:
 
     def products(self, which: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         """n queries (query, term and weight of each entry) x rows, to about ROUNDING."""
+        self.index()
         at = self.place[term]
         q = np.zeros((n, len(self.dense)), np.float32)
         q[which[at >= 0], at[at >= 0]] = weight[at >= 0]
@@ -131,6 +136,7 @@ class Sparse:
 
     def exactly(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The products of some rows with a dense query."""
+        self.index()
         size = self.rows[rows + 1] - self.rows[rows]
         i = np.repeat(self.rows[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return np.bincount(np.repeat(np.arange(len(rows)), size), self.weight[i] * q[self.term[i]], len(rows))
@@ -149,11 +155,41 @@ class Examples:
     edges: np.ndarray = field(default=None)
     shares: np.ndarray = field(default=None)
 
-    def __post_init__(self):
-        if len(self.matrix):
-            m = self.matrix
-            votes = np.array([self.vote(i, s) for i, s in self.all_nearest(m.row.astype(np.int64), m.term, m.weight, len(m), skip=True)])
-            self.edges, self.shares = calibrate(votes, self.label)
+    shared: object = field(default=None)  # a broadcast of the above but the calibration
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shared": None}
+
+    def broadcast(self, spark: SparkSession):
+        """A function that gives these examples on a worker; they are sent once."""
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self)
+        shared, edges, shares = self.shared, self.edges, self.shares
+
+        def own() -> Examples:
+            out = shared.value
+            out.edges, out.shares = edges, shares
+            return out
+
+        return own
+
+    def calibrate(self, spark: SparkSession) -> Examples:
+        """Sets ``edges`` and ``shares`` by the examples' leave-one-out votes, which workers count."""
+        own, n = self.broadcast(spark), len(self.matrix)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                no = np.asarray(batch.column(0))
+                m = own().matrix
+                for a in range(0, len(no), BATCH):
+                    part = no[a : a + BATCH]
+                    some = slice(*np.searchsorted(m.row, [part[0], part[-1] + 1]))
+                    near = own().all_nearest(m.row[some].astype(np.int64) - part[0], m.term[some], m.weight[some], len(part), skip=int(part[0]))
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([own().vote(i, s) for i, s in near], pa.float64())], ["no", "vote"])
+
+        got = spark.range(0, n, 1, -(-n // VOTES)).mapInArrow(run, "no bigint, vote double").toArrow().sort_by("no")
+        self.edges, self.shares = calibrate(np.asarray(got.column("vote")), self.label)
+        return self
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, term and weight of the words of the vocabulary in each text, rows of length 1."""
@@ -162,16 +198,16 @@ class Examples:
         norm = np.sqrt(np.bincount(rows, weight**2, len(texts)))
         return rows, which, weight / norm[rows]
 
-    def all_nearest(self, rows: np.ndarray, which: np.ndarray, weight: np.ndarray, n: int, skip: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Numbers and cosines of the NEAREST examples with positive cosine, exactly, for each of n queries; with ``skip`` but the query's own number."""
+    def all_nearest(self, rows: np.ndarray, which: np.ndarray, weight: np.ndarray, n: int, skip: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and cosines of the NEAREST examples with positive cosine, exactly, for each of n queries; with ``skip``, the first query's number, each but its own."""
         q = np.zeros(len(self.terms))
         for a in range(0, n, BATCH):
             b = min(a + BATCH, n)
             ends = np.searchsorted(rows, np.arange(a, b + 1))
             part = slice(ends[0], ends[-1])
             near = self.matrix.products(rows[part] - a, which[part], weight[part], b - a)
-            if skip:
-                near[np.arange(b - a), np.arange(a, b)] = -1
+            if skip is not None:
+                near[np.arange(b - a), np.arange(a, b) + skip] = -1
             least = np.partition(near, len(self.matrix) - NEAREST, axis=1)[:, -NEAREST] if len(self.matrix) > NEAREST else np.zeros(b - a)
             for k in range(b - a):
                 own = slice(ends[k], ends[k + 1])
@@ -248,6 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     df, total = document_frequency(docs, shared, text_col)
     idf = (np.log((1 + total) / (1 + df)) + 1) * (1 + told_apart(to, row, label_, len(terms)) / LEAN)
     weight = np.log(n)
+    del n
     weight += 1
     weight *= idf[to]
     norm = np.sqrt(np.bincount(row, weight**2, len(ids)))
@@ -255,8 +292,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     bare = float(label_[~some].mean()) if (~some).any() else bare_all
     weight /= norm[row]
     matrix = Sparse((int(some.sum()), len(terms)), (np.cumsum(some) - 1).astype(np.int32)[row], to, weight)
-    del row, to, n, weight
-    return Examples(terms, idf, [x for x, s in zip(ids, some, strict=True) if s], label_[some], matrix, bare)
+    del row, to, weight
+    own = Examples(terms, idf, [x for x, s in zip(ids, some, strict=True) if s], label_[some], matrix, bare)
+    return own.calibrate(docs.sparkSession) if len(matrix) else own
 
 
 def told_apart(term: np.ndarray, row: np.ndarray, label: np.ndarray, width: int) -> np.ndarray:
@@ -294,7 +332,7 @@ def score(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col:
     """``id_col``, ``score`` (0 to 1) and ``evidence`` (ids of the nearest examples, nearest first)."""
     small_batches(docs.sparkSession)
     source = docs.select(col(id_col), col(text_col).cast("string").alias("_text"))
-    shared = source.sparkSession.sparkContext.broadcast(examples)  # the words of at most SAMPLE texts
+    own = examples.broadcast(docs.sparkSession)  # the words of at most SAMPLE texts
     kind = source.schema[0].dataType.simpleString()
     example_kind = "bigint" if all(isinstance(x, int) for x in examples.ids) else "string"
 
@@ -302,7 +340,7 @@ def score(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col:
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
             for a, b in slices(texts):
-                scores, evidence = shared.value.score(texts.slice(a, b - a))
+                scores, evidence = own().score(texts.slice(a, b - a))
                 lists = pa.array(evidence, pa.list_(pa.int64())) if example_kind == "bigint" else pa.array([[str(x) for x in e] for e in evidence], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores), lists], [id_col, "score", "evidence"])
 
@@ -313,14 +351,14 @@ def score(docs: DataFrame, examples: Examples, id_col: str = "doc_id", text_col:
 def keep_clean(docs: DataFrame, examples: Examples, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """All columns of the documents whose score is below ``threshold``."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(examples)
+    own = examples.broadcast(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
             for a, b in slices(texts):
-                keep = shared.value.score(texts.slice(a, b - a))[0] < threshold
+                keep = own().score(texts.slice(a, b - a))[0] < threshold
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return map_arrow(docs, run)
