@@ -18,9 +18,9 @@ ones, 0.8 or more; words are lower-cased and split at white space.
 * ROUNDS - 1 times more, each bucket whose members are still in different classes pairs one member a
   class, drawn anew, with one of them. No pair is emitted for two members neither of which leads, so
   a group in which few are alike gives pairs in proportion to its size, not to its square.
-* What the buckets and leads leave out is found exactly. In one order of all shingles, those that a
-  sample of ORDERED texts shares last, two texts that are alike have their first common shingle
-  within the first fifth of both (by weight). Each text lists that prefix; a shingle in the prefixes
+* What the buckets and leads leave out is found exactly. In one order of all shingles, frequent ones
+  last as far as counts in SLOTS slots over a SHARE of the texts tell, two texts that are alike have
+  their first common shingle within the first fifth of both (by weight), whatever the order. Each text lists that prefix; a shingle in the prefixes
   of texts of different classes is open. Members of open shingles with FEW members at most are
   paired and verified; of others, blocks of members meet in a worker that counts what all of them
   share and gives only links between classes, so no row is made for a pair that isn't alike.
@@ -52,7 +52,7 @@ M = BANDS * ROWS
 SLICE = 4 << 20
 AT_ONCE = 20_000  # points drawn at once
 BROADCAST_BYTES = 16 << 20  # of ids up to which they are broadcast
-ORDERED, LAST = 4096, 1 << 18  # texts whose shared shingles come last in the order, and how many of these
+SHARE, SLOTS = 8, 1 << 22  # of the texts that put the shingles in order, and the slots these are counted in
 FEW, BLOCK, BLOCK_SHINGLES = 32, 1024, 1 << 19  # members paired as rows; of a block, and their shingles
 RARE, COLUMNS = 8, 2048  # texts of a block up to which a shingle's pairs are counted one by one; shingles of a matrix product
 _U = np.uint64
@@ -137,31 +137,29 @@ def hashes(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
-def usual(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The LAST shingles that most of ORDERED texts have (several at least), sorted, and in how many; the texts are those with the smallest hashes of ids."""
-    some = docs.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    chosen = some.select("id").orderBy(F.xxhash64("id"), "id").limit(ORDERED).distinct()
+def usual(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """How many shingles of one in SHARE texts (by the hash of the id) fall in each of SLOTS slots; a shingle's slot is its hash modulo SLOTS."""
+    some = docs.where(F.pmod(F.xxhash64(col(id_col)), F.lit(SHARE)) == 0).select(col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             texts = pc.fill_null(batch.column(0).cast(pa.string()), "")
             for a, b in slices(texts, SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(texts.slice(a, b - a))[1].view(np.int64))], ["h"])
+                np.add.at(counts, (shingles(texts.slice(a, b - a))[1] % _U(SLOTS)).astype(np.int64), 1)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["slot", "n"])
 
-    got = some.join(F.broadcast(chosen), "id", "left_semi").select("text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(LAST).toArrow()
-    h, n = np.asarray(got.column("h")).view(_U), np.asarray(got.column("n"))
-    order = np.argsort(h)
-    return h[order], n[order]
+    got = some.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select("slot", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int32)
+    out[np.asarray(got.column("slot"))] = np.asarray(got.column("n"))
+    return out
 
 
-def prefixes(rows: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, order: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(rows: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, often: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and weight before it of each shingle that may be a text's first common one with a text alike; the weight of each text."""
-    size, (known, often) = np.bincount(rows, count, n).astype(np.int64), order
-    rank = np.zeros(len(h), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        rank = np.where(known[at] == h, often[at], 0)
-    by = np.lexsort((h, rank, rows))
+    size = np.bincount(rows, count, n).astype(np.int64)
+    by = np.lexsort((h, often[(h % _U(len(often))).astype(np.int64)], rows))
     rows, h, count = rows[by], h[by], count[by]
     before = np.cumsum(count) - count
     before = before - (np.cumsum(size) - size)[rows]
@@ -172,7 +170,7 @@ def prefixes(rows: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, order:
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """``id``, ``h1``, ``h2`` (of the text), ``buckets`` (empty without a word), ``size`` (number of shingles), ``prefix``."""
     h1, h2 = hashes(col(text_col))
-    order = docs.sparkSession.sparkContext.broadcast(usual(docs, id_col, text_col))
+    often = docs.sparkSession.sparkContext.broadcast(usual(docs, id_col, text_col))
     source = docs.select(col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +183,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
                 some = np.bincount(rows, minlength=n) > 0
                 ends = np.concatenate([[0], np.cumsum(some * 2 * BANDS)])
                 buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(banded(sig[some]).ravel()))
-                row, key, before, size = prefixes(rows, h, count, n, order.value, threshold)
+                row, key, before, size = prefixes(rows, h, count, n, often.value, threshold)
                 parts = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(before, pa.int32())], ["key", "before"])
                 prefix = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), parts)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, n) for i in range(3)), buckets, pa.array(size, pa.int32()), prefix], ["id", "h1", "h2", "buckets", "size", "prefix"])
