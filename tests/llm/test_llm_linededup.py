@@ -178,3 +178,25 @@ def test_query(spark, sf_dir):
         own = sorted(p for d, p in gone if d == i)
         assert list(r.gone) == own and r.n_gone == len(own)
         assert list(r.first_ids) == sorted({gone[i, p][0] for p in own})
+
+
+def test_lines_within_the_threshold_share_a_key(spark):
+    """And keys are hashed in rows, not by an interpreted function on an array."""
+    rng, rows = random.Random(12), []
+    for k in range(40):
+        a = b = prose(k, rng.randrange(8, 20))
+        for _ in range(min(3, len(a) // 20)):
+            b = edit(b, rng)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    df = spark.createDataFrame(rows, "no long, line string").select("*", F.length("line").alias("length"), F.lit(0).cast("long").alias("counts"))
+    held = {}
+    for probes in (False, True):
+        out = linededup.keys(df, 3, 20, probes)
+        assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+        for r in out.collect():
+            held.setdefault((r.no, probes), set()).add(r.key)
+    text = dict(rows)
+    for k in range(40):
+        x, y = sorted((2 * k, 2 * k + 1), key=lambda n: len(text[n]))
+        if distance(text[x], text[y]) <= min(3, len(text[x]) // 20):
+            assert held[x, False] & (held[y, False] | held[y, True])

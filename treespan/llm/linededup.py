@@ -53,24 +53,24 @@ def shifts(i: int, delta: int, tau: int) -> range:
     return range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)
 
 
-def keys(line: Column, length: Column, tau: int, chars: int) -> tuple[Column, Column]:
-    """The index keys and the probe keys of a line; the places are literals, by how much shorter the other line is and its threshold."""
+def keys(lines: DataFrame, tau: int, chars: int, probes: bool) -> DataFrame:
+    """``no``, ``counts`` and each index key, or each probe key, of ``lines``; the places are literals, by how much shorter the other line is and its threshold."""
 
     def listed(delta: int, place) -> Column:
-        t, out = threshold(length - delta, tau, chars), F.lit(None).cast("array<struct<d:int,k:int,i:int,s:int>>")
+        t, out = threshold(F.col("length") - delta, tau, chars), F.lit(None).cast("array<struct<d:int,k:int,i:int,s:int>>")
         for k in range(max(delta, 1), tau + 1):
             spots = [F.struct(F.lit(delta).alias("d"), F.lit(k + 1).alias("k"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i in range(k + 1) for s in place(i, delta, k)]
             out = F.when(t == k, F.array(*spots)).otherwise(out) if spots else out
         return F.coalesce(out, F.array().cast("array<struct<d:int,k:int,i:int,s:int>>"))
 
-    def hashed(p: Column) -> Column:
-        start, size = segment(length - p["d"], p["i"], p["k"])
-        return F.xxhash64(length - p["d"], p["i"], F.substring(line, start + p["s"] + 1, size))
-
     # A segment at its own place in a line of the same length is found in the index itself.
     moved = lambda i, delta, k: [s for s in shifts(i, delta, k) if delta or s]
-    probe = F.flatten(F.array(*[listed(delta, moved) for delta in range(tau + 1)]))
-    return F.transform(listed(0, lambda i, delta, k: [0]), hashed), F.transform(probe, hashed)
+    places = [listed(delta, moved) for delta in range(tau + 1)] if probes else [listed(0, lambda i, delta, k: [0])]
+    # Places become rows before they are hashed: inside the array each hash would be interpreted.
+    p = F.col("p")
+    each = lines.select("no", "counts", "line", "length", F.explode(F.flatten(F.array(*places))).alias("p"))
+    start, size = segment(F.col("length") - p["d"], p["i"], p["k"])
+    return each.select("no", "counts", F.xxhash64(F.col("length") - p["d"], p["i"], F.substring("line", start + p["s"] + 1, size)).alias("key"))
 
 
 def letters(line: Column) -> Column:
@@ -175,11 +175,8 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
     """Pairs (a, b) of numbers of different lines within their threshold, a written table; distinct: ``no``, ``line``, ``length``, ``counts`` (of letters)."""
-    index, probe = keys(F.col("line"), F.col("length"), tau, chars)
     some = distinct.where(F.col("length") >= chars)
-    # An inner explode would have the keys computed once more, in a filter on their number.
-    index = some.select("no", "counts", F.explode_outer(index).alias("key")).where("key IS NOT NULL")
-    probe = some.select("no", "counts", F.explode_outer(probe).alias("key")).where("key IS NOT NULL")
+    index, probe = keys(some, tau, chars, False), keys(some, tau, chars, True)
 
     def met(x: DataFrame, y: DataFrame, other: Column) -> DataFrame:
         close = letters_apart(F.col("x.counts"), F.col("y.counts")) <= 2 * tau
