@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -202,3 +203,15 @@ def test_neighbours_by_all_words(frame, spark):
         word = texts[i].split()[0]
         assert sorted(evidence[i]) == [x for x in used if word in texts[x].split()] != []
     assert np.allclose(np.bincount(own.matrix.row, own.matrix.weight**2), 1)
+
+
+def test_the_driver_holds_few_bytes_an_entry(frame, labelled):
+    """Neither row numbers nor weights of the examples' entries stay on the driver or in what it sends."""
+    _, _, table = labelled
+    own = toxicity.learn(frame([" ".join(f"w{(i * 7 + j * j) % 3001}" for j in range(600)) for i in range(len(labelled[0]))]), table)
+    m = own.matrix
+    held = sum(v.nbytes for v in vars(m).values() if isinstance(v, np.ndarray))
+    entries = len(m.term)
+    assert entries > 10_000 and max(held, len(pickle.dumps(m))) < 8 * entries + 16 * (len(own.terms) + len(m)) + 4096
+    got = pa.table({"_id": ["b", "c", "b"], "term": [[5], [1, 2], [7, 9]], "n": [[300], [1, 2], [3, 4]]})
+    assert [x.tolist() for x in toxicity.gathered(got, ["a", "b", "c"])] == [[0, 0, 3, 5], [5, 7, 9, 1, 2], [300, 3, 4, 1, 2]]

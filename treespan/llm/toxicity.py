@@ -77,20 +77,22 @@ def vocabulary(examples: DataFrame) -> np.ndarray:
 
 
 class Sparse:
-    """A matrix by rows, and its columns as postings; the heaviest columns are dense too, in single precision. The postings are made
-    where they are first used: on the driver the entries are held once."""
+    """A matrix by rows, held as the counts of its entries: rows of length 1, an entry's weight is (1 + ln count) * idf before that. Weights,
+    and the columns as postings, are made where they are first used, so the driver holds a few bytes an entry. The heaviest columns are dense
+    too, in single precision."""
 
     rows: np.ndarray | None = None
+    made: np.ndarray | None = None
 
-    def __init__(self, shape: tuple[int, int], row: np.ndarray, term: np.ndarray, weight: np.ndarray):
-        order = np.lexsort((term, row))
-        self.shape, self.row, self.term, self.weight = shape, row.astype(np.int32, copy=False)[order], term.astype(np.int32, copy=False)[order], weight[order]
+    def __init__(self, ends: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray):
+        """Row i, not empty, has the entries from ends[i] to ends[i + 1]."""
+        self.shape, self.ends, self.term, self.count, self.idf = (len(ends) - 1, len(idf)), ends, term, count, idf
 
     def __getstate__(self) -> tuple:
-        return self.shape, self.row, self.term, self.weight
+        return self.ends, self.term, self.count, self.idf
 
     def __setstate__(self, state: tuple) -> None:
-        self.shape, self.row, self.term, self.weight = state
+        self.__init__(*state)
 
     def __len__(self) -> int:
         return self.shape[0]
@@ -98,23 +100,39 @@ class Sparse:
     def __matmul__(self, q: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.weight * q[self.term], len(self))
 
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.ends))
+
+    @property
+    def weight(self) -> np.ndarray:
+        if self.made is None:
+            self.made = np.empty(len(self.term))
+            for a in range(0, len(self), VOTES):
+                ends = self.ends[a : a + VOTES + 1]
+                part, row = slice(ends[0], ends[-1]), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                weight = (np.log(self.count[part], dtype=float) + 1) * self.idf[self.term[part]]
+                self.made[part] = weight / np.sqrt(np.bincount(row, weight**2, len(ends) - 1))[row]
+        return self.made
+
     def index(self) -> None:
         if self.rows is not None:
             return
         n, width = self.shape
-        self.rows = np.searchsorted(self.row, np.arange(n + 1))
+        row, weight = self.row, self.weight
         size = np.bincount(self.term, minlength=width)
         heavy = np.argsort(-size, kind="stable")[:HEAVY]
-        self.place = np.full(width, -1, np.int64)
+        self.place = np.full(width, -1, np.int32)
         self.place[heavy] = np.arange(len(heavy))
         self.dense = np.zeros((len(heavy), n), np.float32)
         at = self.place[self.term]
-        self.dense[at[at >= 0], self.row[at >= 0]] = self.weight[at >= 0]
+        self.dense[at[at >= 0], row[at >= 0]] = weight[at >= 0]
         order = np.argsort(self.term, kind="stable")
         order = order[at[order] < 0]
-        self.post_row, self.post_weight = self.row[order], self.weight[order]
+        self.post_row, self.post_weight = row[order], weight[order]
         self.size = np.where(self.place < 0, size, 0)
         self.start = np.cumsum(self.size) - self.size
+        self.rows = self.ends
 
     def products(self, which: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         """n queries (query, term and weight of each entry) x rows, to about ROUNDING."""
@@ -183,8 +201,9 @@ class Examples:
                 m = own().matrix
                 for a in range(0, len(no), BATCH):
                     part = no[a : a + BATCH]
-                    some = slice(*np.searchsorted(m.row, [part[0], part[-1] + 1]))
-                    near = own().all_nearest(m.row[some].astype(np.int64) - part[0], m.term[some], m.weight[some], len(part), skip=int(part[0]))
+                    ends = m.ends[part[0] : part[-1] + 2]
+                    some, row = slice(ends[0], ends[-1]), np.repeat(np.arange(len(part)), np.diff(ends))
+                    near = own().all_nearest(row, m.term[some], m.weight[some], len(part), skip=int(part[0]))
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([own().vote(i, s) for i, s in near], pa.float64())], ["no", "vote"])
 
         got = spark.range(0, n, 1, -(-n // VOTES)).mapInArrow(run, "no bigint, vote double").toArrow().sort_by("no")
@@ -265,7 +284,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
     terms = vocabulary(chosen)
     if not len(terms):
         none = np.zeros(0)
-        return Examples(terms, none, [], none, Sparse((0, 0), none, none.astype(np.int64), none), bare_all)
+        whole = np.zeros(0, np.int32)
+        return Examples(terms, none, [], none, Sparse(np.zeros(1, np.int64), whole, whole, none), bare_all)
     shared = docs.sparkSession.sparkContext.broadcast(terms)  # the words of at most ``most`` texts, 8 bytes each
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,30 +297,45 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (to, n))], ["_id", "term", "n"])
 
     kind = chosen.schema["_id"].dataType.simpleString()
-    got = chosen.select("_id", "text").mapInArrow(counts, f"_id {kind}, term array<int>, n array<int>").toArrow().combine_chunks()  # the distinct words of at most ``most`` texts
-    row = np.repeat(np.asarray(pc.index_in(got.column("_id"), pa.array(ids))).astype(np.int32), np.asarray(pc.list_value_length(got.column("term"))))
-    to, n = (np.asarray(got.column(c).combine_chunks().flatten()) for c in ("term", "n"))
+    got = chosen.select("_id", "text").mapInArrow(counts, f"_id {kind}, term array<int>, n array<int>").toArrow()  # the distinct words of at most ``most`` texts
+    ends, to, n = gathered(got, ids)
     del got
+    pa.default_memory_pool().release_unused()
     df, total = document_frequency(docs, shared, text_col)
-    idf = (np.log((1 + total) / (1 + df)) + 1) * (1 + told_apart(to, row, label_, len(terms)) / LEAN)
-    weight = np.log(n)
-    del n
-    weight += 1
-    weight *= idf[to]
-    norm = np.sqrt(np.bincount(row, weight**2, len(ids)))
-    some = norm > 0
+    size = np.diff(ends)
+    idf = (np.log((1 + total) / (1 + df)) + 1) * (1 + told_apart(to, np.repeat(np.arange(len(ids), dtype=np.int32), size), label_, len(terms)) / LEAN)
+    some = size > 0
     bare = float(label_[~some].mean()) if (~some).any() else bare_all
-    weight /= norm[row]
-    matrix = Sparse((int(some.sum()), len(terms)), (np.cumsum(some) - 1).astype(np.int32)[row], to, weight)
-    del row, to, weight
+    matrix = Sparse(np.concatenate([[0], ends[1:][some]]), to, n, idf)
     own = Examples(terms, idf, [x for x, s in zip(ids, some, strict=True) if s], label_[some], matrix, bare)
     return own.calibrate(docs.sparkSession) if len(matrix) else own
 
 
+def gathered(got: pa.Table, ids: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of rows in the order of ``ids``, and their terms and counts, the counts in as few bytes as the largest needs; got: _id, term, n."""
+    at, size = np.asarray(pc.index_in(got.column("_id"), pa.array(ids))), np.asarray(pc.list_value_length(got.column("term")))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(at, size, len(ids)).astype(np.int64))])
+    most = max((pc.max(x.flatten()).as_py() or 0 for x in got.column("n").chunks), default=0)
+    to, n, place = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.min_scalar_type(most)), ends[:-1].tolist()
+    own = zip(at.tolist(), size.tolist(), strict=True)
+    for batch in got.to_batches():
+        term, count = (np.asarray(batch.column(c).flatten()) for c in ("term", "n"))
+        a = 0
+        for _ in range(len(batch)):
+            i, k = next(own)
+            to[place[i] : place[i] + k], n[place[i] : place[i] + k] = term[a : a + k], count[a : a + k]
+            place[i], a = place[i] + k, a + k
+    return ends, to, n
+
+
 def told_apart(term: np.ndarray, row: np.ndarray, label: np.ndarray, width: int) -> np.ndarray:
     """G of each term: twice the log-likelihood ratio of its presence (in the examples ``row``) and the label."""
     x = lambda v: v * np.log(np.maximum(v, 1e-300))
-    ones, size = np.bincount(term, label[row], width), np.bincount(term, minlength=width).astype(float)
+    ones, size = np.zeros(width), np.zeros(width)
+    for a in range(0, len(term), POSTINGS):  # each call copies what it gets, in 8 bytes a number
+        part = slice(a, a + POSTINGS)
+        ones += np.bincount(term[part], label[row[part]], width)
+        size += np.bincount(term[part], minlength=width)
     most, n = label.sum(), float(len(label))
     table = (ones, size - ones, most - ones, n - most - (size - ones))
     margins = x(size) + x(n - size) + x(most) + x(n - most) - x(n)
