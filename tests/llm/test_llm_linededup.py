@@ -200,3 +200,38 @@ def test_lines_within_the_threshold_share_a_key(spark):
         x, y = sorted((2 * k, 2 * k + 1), key=lambda n: len(text[n]))
         if distance(text[x], text[y]) <= min(3, len(text[x]) // 20):
             assert held[x, False] & (held[y, False] | held[y, True])
+
+
+def test_lines_that_share_a_segment_make_no_rows_but_links(frame, monkeypatch):
+    """Variants of a line that differ at eight places or so share segments and all letter counts; only links become rows."""
+    rng = random.Random(5)
+    base, lines = prose(2, 18), []
+    for i in range(40):
+        x = list(base)
+        for _ in range(3):
+            a, b = rng.sample(range(len(x)), 2)
+            x[a], x[b] = x[b], x[a]
+        lines += ["".join(x)] + (["".join(x[:7] + ["q"] + x[7:])] if i % 5 == 0 else [])
+    docs, tables = list(enumerate(lines)), {}
+    written = linededup.written
+
+    def noted(df, kind="table", *more):
+        out = written(df, kind, *more)
+        tables[kind] = tables.get(kind, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "written", noted)
+    df = frame(lines)
+    want = brute_by_length(docs, 3, 20)
+    for often, share, listed in ((1, 1, 1000), (1, 1, 0), (10**6, 1, 0)):
+        monkeypatch.setattr(linededup, "LISTED", listed, raising=False)
+        monkeypatch.setattr(linededup, "FREQUENT", often, raising=False)
+        monkeypatch.setattr(linededup, "SHARE", share, raising=False)
+        tables.clear()
+        assert decided_by_length(df, 3, 20) == want
+        if often == 1:
+            assert 8 <= len(want) < len(lines) and tables["middles"] < len(lines)
+    assert tables["middles"] > 2 * len(lines)
+    texts = [(rng.choice(lines), rng.choice(lines)) for _ in range(40)] + [("😀" * 9 + a, "😀" * 9 + edit(a, rng)) for a in lines[:20]]
+    got = df.sparkSession.createDataFrame(texts, "x string, y string").select("x", "y", linededup.alike(F.col("x"), F.col("y"), 3, 20).alias("hit")).collect()
+    assert {r.hit for r in got} == {True, False} and all(r.hit == near(r.x, r.y, min(3, min(len(r.x), len(r.y)) // 20)) for r in got)

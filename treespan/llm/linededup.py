@@ -11,7 +11,9 @@ enough edits on both sides of the match.
 
 Equal lines are collapsed, map side first, before any key is made. A key's rows are joined only
 where counts of eight letters allow ``tau`` edits (an edit changes two counts at most), a
-condition inside the join, so a segment that many lines share makes no rows of unlike lines.
+condition inside the join. Keys that many lines share, found by counts over a share of the lines,
+are joined apart with the texts, and the whole comparison is the join's condition: however many
+lines share a segment, it makes no rows but links. Which way a key goes doesn't change the result.
 Survivors lose their common prefix and suffix, found by halving, and what differs is verified by a
 banded bit-parallel edit distance (Hyyro's band of 2 tau + 2 bits in one long) folded over its
 characters. All of it is DataFrame expressions.
@@ -33,6 +35,8 @@ from .graph import components
 TAU, MIN_CHARS = 1, 1
 QUERY_TAU, QUERY_CHARS = 3, 20  # one edit for each 20 characters, 3 at most: of the registered query and the pipeline
 LETTERS = "eantorislducmphg"
+FREQUENT, SHARE = 64, 8  # lines of a key, counted over one line in SHARE, beyond which texts are compared inside the join
+LISTED = 1_000  # frequent keys up to which they are listed in a filter
 BROADCAST_LINES = 1_000_000  # hashes of candidate lines, 8 bytes each, up to which they are broadcast
 
 
@@ -53,8 +57,8 @@ def shifts(i: int, delta: int, tau: int) -> range:
     return range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1)
 
 
-def keys(lines: DataFrame, tau: int, chars: int, probes: bool) -> DataFrame:
-    """``no``, ``counts`` and each index key, or each probe key, of ``lines``; the places are literals, by how much shorter the other line is and its threshold."""
+def keys(lines: DataFrame, tau: int, chars: int, probes: bool, also: tuple[str, ...] = ()) -> DataFrame:
+    """``no``, ``counts``, ``also`` and each index key, or each probe key, of ``lines``; the places are literals, by how much shorter the other line is and its threshold."""
 
     def listed(delta: int, place) -> Column:
         t, out = threshold(F.col("length") - delta, tau, chars), F.lit(None).cast("array<struct<d:int,k:int,i:int,s:int>>")
@@ -70,15 +74,16 @@ def keys(lines: DataFrame, tau: int, chars: int, probes: bool) -> DataFrame:
     p = F.col("p")
     each = lines.select("no", "counts", "line", "length", F.explode(F.flatten(F.array(*places))).alias("p"))
     start, size = segment(F.col("length") - p["d"], p["i"], p["k"])
-    return each.select("no", "counts", F.xxhash64(F.col("length") - p["d"], p["i"], F.substring("line", start + p["s"] + 1, size)).alias("key"))
+    return each.select("no", "counts", *also, F.xxhash64(F.col("length") - p["d"], p["i"], F.substring("line", start + p["s"] + 1, size)).alias("key"))
 
 
 def letters(line: Column) -> Column:
-    """Counts of LETTERS, each modulo 16, in one long; a letter is one byte."""
-    out = F.lit(0).cast("long")
+    """Counts of LETTERS, each modulo 16, in one long; a letter is one byte. What is counted is taken out, so the rest gets shorter."""
+    out, rest = F.lit(0).cast("long"), F.replace(line, F.lit(" "), F.lit(""))
     for i, c in enumerate(LETTERS):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)), 4 * i))
+        less = F.replace(rest, F.lit(c), F.lit(""))
+        n = (F.octet_length(rest) - F.octet_length(less)).cast("long")
+        out, rest = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)), 4 * i)), less
     return out
 
 
@@ -173,18 +178,51 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
+def alike(x: Column, y: Column, tau: int, chars: int) -> Column:
+    """Whether two lines are within their threshold; a condition of a join is compiled, so without functions on arrays."""
+    d = F.levenshtein(x, y, tau)  # -1 beyond tau
+    return (d >= 0) & (d <= threshold(F.least(F.length(x), F.length(y)), tau, chars))
+
+
+def frequent(some: DataFrame, tau: int, chars: int) -> DataFrame:
+    """``key`` and ``length`` (of its lines) of the index keys that about FREQUENT lines or more have, a written table."""
+    part = keys(some.where(F.pmod(F.xxhash64(F.lit(2), "no"), F.lit(SHARE)) == 0), tau, chars, False, ("length",))
+    part = part.groupBy("key").agg(F.count("*").alias("n"), F.first("length").alias("length"))
+    return written(part.where(F.col("n") > FREQUENT // SHARE).select("key", "length"), "frequent")
+
+
 def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
     """Pairs (a, b) of numbers of different lines within their threshold, a written table; distinct: ``no``, ``line``, ``length``, ``counts`` (of letters)."""
     some = distinct.where(F.col("length") >= chars)
     index, probe = keys(some, tau, chars, False), keys(some, tau, chars, True)
 
-    def met(x: DataFrame, y: DataFrame, other: Column) -> DataFrame:
+    def met(x: DataFrame, y: DataFrame, whole: bool = False) -> DataFrame:
+        """Pairs of ``x`` (of the index) and ``y`` with a common key that letters allow, or that are links."""
+        other = F.col("x.no") < F.col("y.no") if y is x else F.col("x.no") != F.col("y.no")
         close = letters_apart(F.col("x.counts"), F.col("y.counts")) <= 2 * tau
+        if whole:
+            close = close & alike(F.col("x.line"), F.col("y.line"), tau, chars)
         pairs = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & other & close)
         return pairs.select(F.least("x.no", "y.no").alias("a"), F.greatest("x.no", "y.no").alias("b"))
 
-    pairs = met(index, index, F.col("x.no") < F.col("y.no")).union(met(index, probe, F.col("x.no") != F.col("y.no")))
-    pairs = written(pairs.distinct(), "pairs")
+    often, more = frequent(some, tau, chars), []
+    if n := often.count():
+        known = F.broadcast(often.select("key")) if n <= BROADCAST_LINES else often.select("key")
+        few = [r.key for r in often.collect()] if n <= LISTED else None
+
+        def held(rows: DataFrame, yes: bool) -> DataFrame:
+            """The rows whose key is frequent, or isn't."""
+            if few is None:
+                return rows.join(known, "key", "left_semi" if yes else "left_anti")
+            return rows.where(F.col("key").isin(few) == F.lit(yes))
+
+        spans = often.select(F.explode(F.sequence("length", F.col("length") + tau)).alias("length")).distinct()
+        rows = some.join(F.broadcast(spans), "length", "left_semi")
+        own, near = (held(keys(rows, tau, chars, probes, ("line",)), True) for probes in (False, True))
+        more = [written(met(own, own, True).union(met(own, near, True)).distinct(), "links")]
+        index = held(index, False)
+    pairs = written(met(index, index).union(met(index, probe)).distinct(), "pairs")
+    forget(often)
     wanted = written(pairs.select(F.col("a").alias("no")).distinct().union(pairs.select("b").distinct()).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_LINES
     texts = written(distinct.join(F.broadcast(wanted) if few else wanted, "no", "left_semi").select("no", "line"), "lines")
@@ -197,8 +235,10 @@ def linked(distinct: DataFrame, tau: int, chars: int) -> DataFrame:
     both = written(both.select("a", "b", "t", "m.x", "m.y"), "middles")
     forget(pairs, wanted, texts)
     hits = both.where(part_kept(F.col("x"), F.col("y"), F.col("t"))).where(within(F.col("x"), F.col("y"), tau, F.col("t"))).select("a", "b")
+    for links in more:
+        hits = hits.union(links).distinct()
     hits = written(hits, "links")
-    forget(both)
+    forget(both, *more)
     return hits
 
 
