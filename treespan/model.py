@@ -87,35 +87,13 @@ def cut(held: Column, start: Column, stop: Column) -> Column:
 
 
 def line_word_tree(docs: DataFrame, root: str | None = "doc", line: str | None = "line", word: str | None = "word", line_label: Column | None = None) -> DataFrame:
-    """Trees document > lines > words (runs between blanks), natively.
+    """Trees document > lines > words (runs between blanks), in one pass over the texts, without a shuffle.
 
-    Offsets are running sums of lengths and ranks are windows over one document; no Python runs.
-    line_label: an expression on ``line_text`` that overrides ``line``.
+    A document's rows follow one another in order of ``pre``. line_label: an expression on ``line_text`` that overrides ``line``.
     """
-    by_line = Window.partitionBy("doc_id").orderBy("lpos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = docs.select("doc_id", F.length("text").alias("size"), F.posexplode(F.split("text", "\n")).alias("lpos", "line_text"))
-    rows = rows.withColumn("lstart", F.coalesce(F.sum(F.length("line_text") + 1).over(by_line), F.lit(0)).cast("int"))
-    words = rows.select("doc_id", "size", "lpos", "lstart", "line_text", F.posexplode(F.split("line_text", " ")).alias("k", "w"))
-    by_word = Window.partitionBy("doc_id", "lpos").orderBy("k")
-    words = words.withColumn("wstart", (F.col("lstart") + F.coalesce(F.sum(F.length("w") + 1).over(by_word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
-    # The first piece of a line also stands for the line, the first of a document for the root.
-    label = line_label if line_label is not None else F.lit(line).cast("string")
-    lead = F.struct(F.lit(1).alias("depth"), F.col("lstart").alias("start"), (F.col("lstart") + F.length("line_text")).cast("int").alias("stop"), label.alias("label"))
-    top = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.col("size").alias("stop"), F.lit(root).cast("string").alias("label"))
-    own = F.struct(F.lit(2).alias("depth"), F.col("wstart").alias("start"), (F.col("wstart") + F.length("w")).cast("int").alias("stop"), F.lit(word).cast("string").alias("label"))
-    nodes = F.filter(F.array(F.when((F.col("k") == 0) & (F.col("lpos") == 0), top), F.when(F.col("k") == 0, lead), F.when(F.length("w") > 0, own)), lambda x: x.isNotNull())
-    flat = words.select("doc_id", "lpos", "k", F.explode(nodes).alias("n")).select("doc_id", "lpos", "k", "n.*")
-    w = Window.partitionBy("doc_id").orderBy("lpos", "k", "depth")
-    flat = flat.withColumn("pre", F.row_number().over(w) - 1)
-    # Back from the end, so that each frame grows by a row: the same over what follows would be summed anew for each row.
-    back = Window.partitionBy("doc_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
-    next_line = F.last(F.when(F.col("depth") == 1, F.col("pre")), ignorenulls=True).over(back)
-    count = F.count("*").over(Window.partitionBy("doc_id")).cast("int")
-    line_pre = F.max(F.when(F.col("depth") == 1, F.col("pre"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = flat.withColumn("last", F.when(F.col("depth") == 0, count - 1).when(F.col("depth") == 1, F.coalesce(next_line, count) - 1).otherwise(F.col("pre")))
-    out = out.withColumn("parent", F.when(F.col("depth") == 1, 0).when(F.col("depth") == 2, line_pre))
-    out = out.withColumn("ord", F.when(F.col("depth") == 0, 0).when(F.col("depth") == 1, F.col("lpos")).otherwise(F.col("pre") - F.col("parent") - 1))
-    return out.select("doc_id", *[F.col(c).cast("int").alias(c) for c in NODE_FIELDS], "label")
+    from .plans.forest import Trees
+
+    return Trees.of_lines(docs, root, line, word, line_label).rows
 
 
 def nested(spans: Iterable[Sequence], on_overlap: str = "raise") -> Iterator[tuple]:

@@ -10,6 +10,9 @@
 
 "-" reverses the axis (nearest first otherwise), "!" gives the node itself where the axis is empty,
 "!!" gives it always. A step keeps what passes its filters and its subqueries. "\\" escapes.
+
+A path is walked inside documents (``walk``), with one shuffle of the segments at most. Joins are left for
+predicates that look at what only a step knows, as ``idx``.
 """
 
 from __future__ import annotations
@@ -19,10 +22,13 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import with_text
+from .forest import Trees
 
 AXES = ("....", "...", "..", ".", "><", "***", "**", "*", "<<<", "<<", "<", ">>>", ">>", ">")
 _AXIS = re.compile(r"\s*([+-]?)(><|\.{1,4}|\*{1,3}|<{1,3}|>{1,3})(!{0,2})")
@@ -273,19 +279,78 @@ class Query:
     values: Mapping[str, object] = field(default_factory=dict)
     predicates: Mapping[str, Column | Callable[[Mapping[str, Column]], Column]] = field(default_factory=dict)
 
-    def find_all(self, segments: DataFrame, contexts: DataFrame | None = None, docs: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    def find_all(self, segments: DataFrame | Trees, contexts: DataFrame | None = None, docs: DataFrame | None = None, ordered: bool = True, together: bool = False, columns: list[str] | None = None) -> DataFrame:
         """The nodes that the path finds from each context (default: every root).
 
         segments: the trees. contexts: rows doc_id, pre. docs: doc_id, text, for filters on
-        substrings. Returns the segments' columns with ``origin`` (the context's pre) and, if
-        ordered, ``pos``, the place of the node in its context's result, which is a bag: a node
-        that is found twice is there twice.
+        substrings. Returns the segments' columns (or those named) with ``origin`` (the context's pre) and,
+        if ordered, ``pos``, the place of the node in its context's result, which is a bag: a node that is
+        found twice is there twice. together: a document's rows follow one another in order of ``pre``,
+        as ``line_word_tree`` and ``segment`` give them, so nothing is shuffled.
         """
-        return Compiler(segments, docs, self.values, self.predicates).run(self.path, contexts, ordered)
+        return self._found(segments, contexts, docs, ordered, together, columns, False)
 
-    def find(self, segments: DataFrame, contexts: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    def find(self, segments: DataFrame | Trees, contexts: DataFrame | None = None, docs: DataFrame | None = None, together: bool = False, columns: list[str] | None = None) -> DataFrame:
         """The first node of each context's result."""
-        return self.find_all(segments, contexts, docs).where("pos = 0").drop("pos")
+        return self._found(segments, contexts, docs, True, together, columns, True).drop("pos")
+
+    def _found(self, segments: DataFrame | Trees, contexts: DataFrame | None, docs: DataFrame | None, ordered: bool, together: bool, columns: list[str] | None, first: bool) -> DataFrame:
+        from . import walk
+
+        every = list(self.tests(self.path))
+        textual = any(t.kind in walk.TEXTUAL for t in every)
+        if isinstance(segments, Trees) and (contexts is not None or any(t.kind in ("value", "predicate") for t in every)):
+            segments, together = segments.rows, True
+        mark = None
+        marks: dict[Test, str] = {}
+        if isinstance(segments, Trees):
+            trees, names = segments, segments.schema.names
+        else:
+            if textual and docs is None:
+                raise PathError("the path tests substrings, but no documents are given")
+            rows, names = segments, segments.columns
+            try:
+                rows, marks = self.marked(segments, every)
+            except _InStep:
+                out = Compiler(segments, docs, self.values, self.predicates).run(self.path, contexts, ordered)
+                return (out.where("pos = 0") if first else out).select(*(columns or names), "origin", *["pos"] * ordered)
+            if contexts is not None:
+                mark, together = "_context", False
+                rows = rows.join(contexts.select("doc_id", "pre").distinct().withColumn(mark, F.lit(True)), ["doc_id", "pre"], "left")
+            trees = Trees.of_rows(rows, docs if textual else None, together)
+        wanted = list(columns or names)
+        types = trees.schema
+        schema = T.StructType([*(types[c] for c in wanted), T.StructField("origin", T.IntegerType()), *[T.StructField("pos", T.IntegerType())] * ordered])
+        path = self.path
+        return trees.each(lambda forest: walk.found(forest, path, marks, wanted, ordered, first, mark), schema, "doc_id IS NOT NULL")
+
+    @classmethod
+    def tests(cls, path: Path):
+        for s in path.steps:
+            yield from _tests(s.where)
+            for e in _exists(s.having):
+                yield from cls.tests(e.path)
+
+    def marked(self, segments: DataFrame, tests: list[Test]) -> tuple[DataFrame, dict[Test, str]]:
+        """The segments with columns of the outcome of tests on values and predicates, which are columns of Spark's."""
+        marks: dict[Test, str] = {}
+        rows, compiler = segments, Compiler(segments, None, self.values, self.predicates)
+        for t in tests:
+            if t.kind not in ("value", "predicate") or t in marks:
+                continue
+            if t.kind == "predicate" and "idx" in segments.columns:
+                raise _InStep
+            marks[t] = f"_mark{len(marks)}"
+            try:
+                rows = rows.withColumn(marks[t], compiler.condition(t))
+                rows.schema  # noqa: B018  analysed here
+            except AnalysisException as e:
+                raise _InStep from e
+        return rows, marks
+
+
+class _InStep(Exception):
+    """A predicate that can only be told within a step."""
 
 
 def compile_path(path: str, values: Mapping[str, object] | None = None, predicates: Mapping[str, object] | None = None) -> Query:
@@ -305,12 +370,13 @@ def compile_path(path: str, values: Mapping[str, object] | None = None, predicat
     return Query(parsed, values or {}, predicates or {})
 
 
-def find_all(path: str, segments: DataFrame, contexts: DataFrame | None = None, docs: DataFrame | None = None, values=None, predicates=None, ordered: bool = True) -> DataFrame:
-    return compile_path(path, values, predicates).find_all(segments, contexts, docs, ordered)
+def find_all(path: str, segments: DataFrame | Trees, contexts: DataFrame | None = None, docs: DataFrame | None = None, values=None, predicates=None, ordered: bool = True, together: bool = False, columns: list[str] | None = None) -> DataFrame:
+    return compile_path(path, values, predicates).find_all(segments, contexts, docs, ordered, together, columns)
 
 
 def _indexed(step: Step) -> bool:
-    return any(t.kind == "index" for t in _tests(step.where))
+    """Whether the step's filters can look at a node's place."""
+    return any(t.kind in ("index", "predicate") for t in _tests(step.where))
 
 
 def _exists(node: object):

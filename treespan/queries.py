@@ -11,6 +11,7 @@ from . import model
 from .functions import segments as sg
 from .functions import text as tx
 from .operators import nlp, packs, stages
+from .plans.forest import Trees
 from .plans.path import find_all
 from .sources import store
 
@@ -31,6 +32,10 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
     return model.line_word_tree(docs(spark, folder))
 
 
+def trees(spark: SparkSession, folder: str) -> Trees:
+    return Trees.of_lines(docs(spark, folder))
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name] = f
@@ -62,7 +67,7 @@ def path_query(name: str, path: str, sql: str, ordered: bool = False, columns: s
     names = [c.strip() for c in columns.split(",")] + ["pos"] * ordered
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return find_all(path, tree(spark, folder), docs=docs(spark, folder), ordered=ordered).select(*names)
+        return find_all(path, trees(spark, folder), ordered=ordered, columns=names[: len(names) - ordered]).select(*names)
 
     register(name, TREE + sql)(run)
 
@@ -121,20 +126,21 @@ path_query("subquery_nested", "**[d:word]{..{*[i:0] & [ssw:T,D]}}", f"SELECT {pi
 def find_first(spark: SparkSession, folder: str) -> DataFrame:
     from .plans.path import compile_path
 
-    return compile_path("**[d:word]").find(tree(spark, folder)).select(*NODE.replace(" ", "").split(","))
+    columns = NODE.replace(" ", "").split(",")
+    return compile_path("**[d:word]").find(trees(spark, folder), columns=columns).select(*columns)
 
 
 @register("filter_null_label", TREE + f"SELECT doc_id, pre, start, stop, CASE WHEN label = 'line' AND length(sub) < 40 THEN NULL ELSE label END AS label FROM seg WHERE label = 'line'")
 def filter_null_label(spark: SparkSession, folder: str) -> DataFrame:
     own = model.line_word_tree(docs(spark, folder), line_label=F.when(F.length("line_text") >= 40, "line"))
-    return find_all("*[~d:word]", own, ordered=False).select(*NODE.replace(" ", "").split(","))
+    return find_all("*[~d:word]", own, ordered=False, together=True).select(*NODE.replace(" ", "").split(","))
 
 
 @register("filter_predicate_value", TREE + f"SELECT {NODE} FROM seg WHERE label = 'word' AND stop - start > 12 AND ord IN (1, 3)")
 def filter_predicate_value(spark: SparkSession, folder: str) -> DataFrame:
     own = tree(spark, folder).withColumn("value", F.col("ord"))
     long_ = lambda row: row["stop"] - row["start"] > 12
-    return find_all("**[d:word] & [p:long] & [v:one,three]", own, values={"one": 1, "three": 3}, predicates={"long": long_}, ordered=False).select(*NODE.replace(" ", "").split(","))
+    return find_all("**[d:word] & [p:long] & [v:one,three]", own, values={"one": 1, "three": 3}, predicates={"long": long_}, ordered=False, together=True).select(*NODE.replace(" ", "").split(","))
 
 
 # Text functions.
@@ -326,7 +332,7 @@ def run_reduce_islands(spark: SparkSession, folder: str) -> DataFrame:
 @register("first_of_stages", TREE + "SELECT doc_id, start, stop, label FROM seg s WHERE label = 'word' AND starts_with(sub, 'z') OR label = 'line' AND NOT EXISTS (SELECT 1 FROM seg z WHERE z.doc_id = s.doc_id AND z.label = 'word' AND starts_with(z.sub, 'z'))")
 def first_of_stages(spark: SparkSession, folder: str) -> DataFrame:
     own = tree(spark, folder)
-    z = find_all("**[d:word] & [ssw:z]", own, docs=docs(spark, folder), ordered=False)
+    z = find_all("**[d:word] & [ssw:z]", trees(spark, folder), ordered=False)
     rows = [x.select("doc_id", "start", "stop", "label") for x in (z, own.where("label = 'line'"))]
     return sg.first_of(("doc_id",), *rows)
 
