@@ -44,11 +44,11 @@ def spread(lo: np.ndarray, hi: np.ndarray, backward: bool = False) -> tuple[np.n
 class Forest:
     """Nodes of whole documents, ordered by document and ``pre``. ``doc`` is a node's place among ``ids``; other pointers are places of nodes, -1 for none."""
 
-    def __init__(self, ids: pa.Array, doc: np.ndarray, begin: np.ndarray, held: dict[str, np.ndarray], labels: tuple[np.ndarray, list], text: str = "", text_at: np.ndarray | None = None, texts: np.ndarray | None = None, table: pa.Table | None = None):
+    def __init__(self, ids: pa.Array, doc: np.ndarray, begin: np.ndarray, held: dict[str, np.ndarray], labels: tuple[np.ndarray, list], text: str = "", text_at: np.ndarray | None = None, texts: np.ndarray | None = None, table: pa.Table | None = None, sep: int = 0):
         self.ids, self.doc, self.begin, self.held, self.table = ids, doc, begin, held, table
         self.codes, self.names = labels
-        # The documents' texts in a row, where each begins, and 0: no such document, 1: a null text, 2: a text.
-        self.text, self.text_at, self.texts = text, text_at, texts
+        # The documents' texts in a row, ``sep`` characters after each, where each begins, and 0: no such document, 1: a null text, 2: a text.
+        self.text, self.text_at, self.texts, self.sep = text, text_at, texts, sep
 
     def __len__(self) -> int:
         return len(self.doc)
@@ -71,16 +71,25 @@ class Forest:
         values = self.held[name][at]
         return pa.array(values, pa.int32(), mask=values < 0 if name == "parent" else None)
 
-    def rows(self, columns: Sequence[str], at: np.ndarray, more: dict[str, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-        """Batches of columns of some nodes, and of other numbers."""
+    def rows(self, columns: Sequence[str], at: np.ndarray, more: dict[str, np.ndarray | pa.Array] | None = None) -> Iterator[pa.RecordBatch]:
+        """Batches of columns of some nodes, and of other values of theirs, which may stand for a column."""
+        more = more or {}
+        names = [*columns, *(c for c in more if c not in columns)]
         for a in range(0, len(at), NODES):
             part = at[a : a + NODES]
-            data = [self.column(c, part) for c in columns] + [pa.array(x[a : a + NODES], pa.int32()) for x in (more or {}).values()]
-            yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in data], [*columns, *(more or {})])
+            own = {c: x[a : a + NODES] for c, x in more.items()}
+            data = [(x if isinstance(x := own[c], pa.Array) else pa.array(x, pa.int32())) if c in own else self.column(c, part) for c in names]
+            yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in data], names)
 
     def is_label(self, *labels: str) -> np.ndarray:
         return np.isin(self.codes, [i for i, x in enumerate(self.names) if x in labels])
 
+    def text_of(self, doc: int) -> str | None:
+        """A document's text, by its place."""
+        a = int(self.text_at[doc])
+        b = int(self.text_at[doc + 1]) - self.sep if doc + 1 < len(self.text_at) else len(self.text) - self.sep
+        return self.text[a:b] if self.texts[doc] == 2 else None
+
     def substrings(self, at: np.ndarray) -> list[str]:
         base = self.text_at[self.doc[at]]
         text = self.text
@@ -183,7 +192,7 @@ def line_word_forest(ids: pa.Array, texts: Sequence[str], labels: Sequence[str |
     }
     own = code(labels[1]) if line_labels is None else np.fromiter(map(code, line_labels), np.int64, L)
     labels_ = merged(code(labels[0]), own, code(labels[2]), np.int32)
-    return Forest(ids, merged(np.arange(D), l_doc, w_doc), begin, held, (labels_, names), text, text_at, np.full(D, 2))
+    return Forest(ids, merged(np.arange(D), l_doc, w_doc), begin, held, (labels_, names), text, text_at, np.full(D, 2), sep=1)
 
 
 def _forests_of_lines(batches: Iterable[pa.RecordBatch], labels: Sequence[str | None]) -> Iterator[Forest]:
@@ -232,22 +241,26 @@ def _forest_of_rows(table: pa.Table, with_texts: bool) -> Forest | None:
     if not table.num_rows:
         return None
     table = table.combine_chunks()
-    ids = table.column("doc_id").combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    ids = table.column("doc_id").chunk(0)
     new = np.ones(len(ids), bool)
     new[1:] = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
     begin = np.append(np.flatnonzero(new), len(ids))
+    if not with_texts:
+        return _forest(table, begin)
+    found = [(texts.get(d), d in texts) for d in ids.take(pa.array(begin[:-1])).to_pylist()]
+    return _forest(table, begin, [t or "" for t, _ in found], [0 if not there else 1 if t is None else 2 for t, there in found])
+
+
+def _forest(table: pa.Table, begin: np.ndarray, texts: Sequence[str] | None = None, known: Sequence[int] | None = None) -> Forest:
+    """The forest of a table of documents that begin at these rows."""
     held = {c: _ints(table, c) for c in INTS if c in table.column_names}
-    coded = table.column("label").combine_chunks().dictionary_encode()
-    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    coded = table.column("label").chunk(0).dictionary_encode()
     labels = (pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist())
-    own = ids.take(pa.array(begin[:-1]))
-    out = Forest(own, np.cumsum(new) - 1, begin, held, labels, table=table)
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    out = Forest(table.column("doc_id").chunk(0).take(pa.array(begin[:-1])), doc, begin, held, labels, table=table)
     if texts is not None:
-        found = [(texts.get(d), d in texts) for d in own.to_pylist()]
-        sizes = [len(t or "") for t, _ in found]
-        out.text, out.text_at = "".join(t or "" for t, _ in found), np.cumsum([0, *sizes])[:-1].astype(np.int64)
-        out.texts = np.array([0 if not there else 1 if t is None else 2 for t, there in found])
+        out.text, out.text_at = "".join(texts), np.cumsum([0, *map(len, texts)])[:-1].astype(np.int64)
+        out.texts = np.full(len(texts), 2) if known is None else np.array(known)
     return out
 
 
@@ -333,6 +346,11 @@ def small_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
     return df
 
 
+def forest_of_batch(batch: pa.RecordBatch, sizes: Sequence[int], texts: Sequence[str]) -> Forest:
+    """The forest of segments of documents with so many rows each, and their texts."""
+    return _forest(pa.Table.from_batches([batch]), np.cumsum([0, *sizes]), texts)
+
+
 def trees_of(x: DataFrame | Trees) -> Trees:
     return x if isinstance(x, Trees) else Trees.of_rows(x)
 
