@@ -9,6 +9,7 @@ are Arrow UDFs. Null in gives null out.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -358,18 +359,27 @@ def shortened(text: str, width: int, mark: str = "", side: str = ">") -> str:
     return text[: room - tail] + mark + (text[-tail:] if tail else "")
 
 
-def format_node(spec: str, text: str, start: int, stop: int, label: str | None, value: object = None) -> str:
-    """A segment by a format with directives; a directive reaches at most to the next."""
-    if not spec:
-        return text[start:stop]
+@functools.lru_cache(maxsize=64)
+def _directives(spec: str) -> tuple[list[tuple[str, dict]], str]:
+    """The directives of a format, each with what stands before it, and the rest."""
     places = [i for i in escapes(spec, "%")]
     out, at = [], 0
     for i, end in zip(places, [*places[1:], len(spec)], strict=True):
         m = _DIRECTIVE.match(spec, i, end)
-        if not m:
-            continue
-        out.append(spec[at:i])
-        at = m.end()
+        if m:
+            out.append((spec[at:i], m.groupdict()))
+            at = m.end()
+    return out, spec[at:]
+
+
+def format_node(spec: str, text: str, start: int, stop: int, label: str | None, value: object = None) -> str:
+    """A segment by a format with directives; a directive reaches at most to the next."""
+    if not spec:
+        return text[start:stop]
+    parts, rest = _directives(spec)
+    out = []
+    for before, m in parts:
+        out.append(before)
         if m["number"]:
             ends = [format(x, m["format"] or "") for x in ((start, stop) if m["number"] == "span" else (start if m["number"] == "start" else stop,))]
             out.append(f"({', '.join(ends)})" if m["number"] == "span" else ends[0])
@@ -383,7 +393,7 @@ def format_node(spec: str, text: str, start: int, stop: int, label: str | None,
             if m["width"]:
                 got = shortened(got, int(m["width"]), m["mark"] or "", m["side"] or ">")
             out.append(got)
-    return "".join([*out, spec[at:]])
+    return "".join([*out, rest])
 
 
 def formatted(text: Column, start: Column, stop: Column, label: Column, spec: str) -> Column:

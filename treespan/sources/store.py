@@ -6,12 +6,15 @@ import json
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import format_node
+from ..functions.text import format_node, shortened
 from ..model import NODE_FIELDS, SEGMENTS
+from ..plans.forest import Forest, Trees, small_batches
 
 FORMAT_VERSION = 1
 
@@ -58,73 +61,113 @@ def successive(text: Column, subs: list[str], label: str | None = None) -> Colum
     return F.array(*out)
 
 
-_ROW = F.struct
+def _with_texts(segments: DataFrame | Trees, docs: DataFrame | None) -> Trees:
+    return segments if isinstance(segments, Trees) else Trees.of_rows(segments, docs)
 
 
-def to_json(segments: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """doc_id, json: a document's tree as a list of nodes in depth-first order, each with its depth; with ``docs`` the text too, else it must be given back on reading."""
-    nodes = F.array_sort(F.collect_list(_ROW("pre", "depth", "start", "stop", "label")))
-    out = segments.groupBy("doc_id").agg(F.transform(nodes, lambda n: F.struct(n["depth"].alias("depth"), n["start"].alias("start"), n["stop"].alias("stop"), n["label"].alias("label"))).alias("nodes"))
-    fields = [F.lit(FORMAT_VERSION).alias("version"), F.col("nodes")]
-    if docs is not None:
-        out = out.join(docs.select("doc_id", "text"), "doc_id")
-        fields.insert(1, F.col("text"))
-    return out.select("doc_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+def to_json(segments: DataFrame | Trees, docs: DataFrame | None = None, texts: bool | None = None) -> DataFrame:
+    """doc_id, json: a document's tree as a list of nodes in depth-first order, each with its depth; with ``docs`` (or the texts of ``Trees``, if asked for) the text too, else it must be given back on reading."""
+    trees = _with_texts(segments, docs)
+    texts = docs is not None if texts is None else texts
+
+    def run(f: Forest) -> Iterator[pa.RecordBatch]:
+        names = [json.dumps(x, ensure_ascii=False) for x in f.names] + ["null"]  # the last is that of code -1
+        out, which = [], []
+        columns = [x.tolist() for x in (f.depth, f.start, f.stop, f.codes)]
+        for i, (a, b) in enumerate(zip(f.begin[:-1].tolist(), f.begin[1:].tolist(), strict=True)):
+            if texts and f.texts[i] == 0:
+                continue
+            nodes = ",".join([f'{{"depth":{d},"start":{x},"stop":{y},"label":{names[c]}}}' for d, x, y, c in zip(*(x[a:b] for x in columns), strict=True)])
+            text = f'"text":{json.dumps(f.text_of(i), ensure_ascii=False)},' if texts else ""
+            out.append(f'{{"version":{FORMAT_VERSION},{text}"nodes":[{nodes}]}}')
+            which.append(i)
+        yield pa.RecordBatch.from_arrays([f.ids.take(pa.array(which, pa.int64())), pa.array(out, pa.string())], ["doc_id", "json"])
+
+    return trees.each(run, T.StructType([trees.schema["doc_id"], T.StructField("json", T.StringType())]))
 
 
 def from_json(rows: DataFrame) -> DataFrame:
     """Segments of ``to_json``'s rows: ranks come from the order and depth of the nodes, one pass a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(cols: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:8]), pa.array(cols[8], pa.string())], ["doc_id", *NODE_FIELDS, "label"])
+
+        out: list[list] = [[] for _ in range(9)]
         for batch in batches:
-            out: list[list] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = json.loads(text)
                 if got.get("version", 0) > FORMAT_VERSION:
                     raise ValueError(f"a later format: {got['version']}")
-                begin, chain, tops = len(out), [], 0
+                depths = [n["depth"] for n in got["nodes"]]
+                last, parents, places = list(range(len(depths))), [], []
+                chain: list[int] = []
                 kids: list[int] = []
-                for n in got["nodes"]:
-                    del chain[n["depth"] :]
-                    parent = chain[-1] if chain else None
-                    place, tops = (tops, tops + 1) if parent is None else (kids[parent], tops)
-                    if parent is not None:
+                tops = 0
+                for pre, depth in enumerate(depths):
+                    if depth < len(chain):
+                        for up in chain[depth:]:  # they end here
+                            last[up] = pre - 1
+                        del chain[depth:]
+                    if chain:
+                        parent = chain[-1]
+                        parents.append(parent)
+                        places.append(kids[parent])
                         kids[parent] += 1
-                    pre = len(out) - begin
-                    out.append([doc, pre, pre, parent, n["depth"], place, n["start"], n["stop"], n["label"]])
-                    for up in chain:
-                        out[begin + up][2] = pre
+                    else:
+                        parents.append(None)
+                        places.append(tops)
+                        tops += 1
                     chain.append(pre)
                     kids.append(0)
-            cols = list(zip(*out, strict=True)) if out else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:8]), pa.array(cols[8], pa.string())], ["doc_id", *NODE_FIELDS, "label"])
+                for up in chain:
+                    last[up] = len(depths) - 1
+                for column, values in zip(out, ([doc] * len(depths), range(len(depths)), last, parents, depths, places, [n["start"] for n in got["nodes"]], [n["stop"] for n in got["nodes"]], [n["label"] for n in got["nodes"]]), strict=True):
+                    column += values
+                if len(out[0]) >= ROWS:
+                    yield batch_of(out)
+                    out = [[] for _ in range(9)]
+        if out[0]:
+            yield batch_of(out)
+
+    return small_batches(rows.select(F.col("doc_id").cast("long"), "json")).mapInArrow(run, SEGMENTS)
 
-    return rows.select(F.col("doc_id").cast("long"), "json").mapInArrow(run, SEGMENTS)
+
+ROWS = 20_000  # of segments in an Arrow batch, at least
 
 
 #: Line formats of the dumps.
 COMPACT_LINE, TREE_LINE = "%span %desc!r : '%substr!1r1:40…% '", "%span %desc!r : '%substr!1r1:^40…% '"
 
 
+def _lined(pre: list, parent: list, start: list, stop: list, label: list, text: str) -> str:
+    """Nodes with the lines of their tree before them, each by TREE_LINE, which is spelt out here as it is met for every node."""
+    last = dict(zip(parent, pre, strict=True))  # the last child of each
+    out, rail = [], {None: ""}
+    shown = {x: repr(x or "") for x in set(label)}
+    for p, up, a, b, d in zip(pre, parent, start, stop, label, strict=True):
+        sub = repr(text[a:b])[1:-1]
+        if len(sub) > 40:
+            sub = shortened(sub, 40, "…", "^")
+        before = rail[up]
+        if up is None:
+            rail[p] = ""
+        else:
+            ends = last[up] == p
+            rail[p] = f"{before}   " if ends else f"{before}│  "
+            before = f"{before}└──" if ends else f"{before}├──"
+        out.append(f"{before}({a}, {b}) {shown[d]} : '{sub}'\n")
+    return "".join(out)
+
+
 def dump(rows: list[dict], text: str, style: str = "compact", indent: str = "    ") -> str:
     """A tree as text. rows: segments of one document. Styles: compact (numbered, indented), tree (lines drawn), xml, json."""
     rows = sorted(rows, key=lambda r: r["pre"])
     line = lambda spec, r: format_node(spec, text, r["start"], r["stop"], r["label"])
     if style == "compact":
         return "".join(f"{indent * r['depth']}{r['ord'] + 1:,}: {line(COMPACT_LINE, r)}\n" for r in rows)
-    last = {r["parent"]: r["pre"] for r in rows}  # the last child of each
     if style == "tree":
-        out, rail = [], {}
-        for r in rows:
-            up = r["parent"]
-            if up is None:
-                rail[r["pre"]] = ""
-                out.append(line(TREE_LINE, r))
-                continue
-            ends = last[up] == r["pre"]
-            out.append(f"{rail[up]}{'└' if ends else '├'}──{line(TREE_LINE, r)}")
-            rail[r["pre"]] = rail[up] + (" " if ends else "│") + "  "
-        return "".join(f"{x}\n" for x in out)
+        return _lined(*(list(c) for c in zip(*((r["pre"], r["parent"], r["start"], r["stop"], r["label"]) for r in rows), strict=True)), text) if rows else ""
     by: dict = {}
     for r in rows:
         by.setdefault(r["parent"], []).append(r)
@@ -154,15 +197,19 @@ def dump(rows: list[dict], text: str, style: str = "compact", indent: str = "
     return "\n".join([*out, "</itos>", ""])
 
 
-def dumped(segments: DataFrame, docs: DataFrame, style: str = "compact") -> DataFrame:
+def dumped(segments: DataFrame | Trees, docs: DataFrame | None = None, style: str = "compact") -> DataFrame:
     """doc_id, dump of every tree."""
+    trees = _with_texts(segments, docs)
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        text = (right.column("text")[0].as_py() if right.num_rows else "") or ""
-        return pa.table({"doc_id": pa.array([key[0].as_py()] * bool(left.num_rows), pa.int64()), "dump": pa.array([dump(left.to_pylist(), text, style)] * bool(left.num_rows), pa.string())})
+    def run(f: Forest) -> Iterator[pa.RecordBatch]:
+        names = ("pre", "parent", "start", "stop", "label") if style == "tree" else (*NODE_FIELDS, "label")
+        columns = [f.column(c, np.arange(len(f))).to_pylist() for c in names]
+        for i, (a, b) in enumerate(zip(f.begin[:-1].tolist(), f.begin[1:].tolist(), strict=True)):
+            own, text = [c[a:b] for c in columns], f.text_of(i) or ""
+            out = _lined(*own, text) if style == "tree" else dump([dict(zip(names, r, strict=True)) for r in zip(*own, strict=True)], text, style)
+            yield pa.RecordBatch.from_arrays([f.ids.slice(i, 1), pa.array([out], pa.string())], ["doc_id", "dump"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("doc_id")
-    return segments.select(*SEGMENTS.names).groupBy("doc_id").cogroup(own).applyInArrow(run, "doc_id bigint, dump string")
+    return trees.each(run, T.StructType([trees.schema["doc_id"], T.StructField("dump", T.StringType())]))
 
 
 COLOURS = (31, 32, 33, 34, 35, 36)  # terminal foregrounds, in turn
