@@ -9,9 +9,12 @@ import pyarrow as pa
 import pytest
 
 from treespan import model
+from treespan.functions import segments as sg
+from treespan.functions.text import format_node
 from treespan.plans import forest as fo
 from treespan.plans.path import Compiler, compile_path, find_all, parse
 from treespan.queries import QUERIES
+from treespan.sources import store
 
 TEXTS = ["", "\n", " ", "a bb\n\n  ccc a", "Ünïcödé 😀 x\nsTRASSE straße\n", "one", None, "a\nb\nc\nd", " lead\ntrail ", "x " * 300]
 
@@ -100,7 +103,7 @@ def test_predicates_that_know_the_index(lines):
     got = find_all("*[p:odd]", tree, predicates={"odd": lambda r: r["idx"] % 2 == 1}, ordered=False)
     assert sorted((r.doc_id, r.ord) for r in got.collect()) == sorted((r.doc_id, r.ord) for r in tree.where("depth = 1 AND ord % 2 = 1").collect())
     first = compile_path("**[d:word]").find(fo.Trees.of_lines(docs), columns=["pre"])
-    assert first.columns == ["pre", "origin"] and first.count() == 7
+    assert first.columns == ["pre", "origin"] and first.count() == 6
 
 
 def test_documents_across_batches(monkeypatch):
@@ -132,3 +135,56 @@ def test_parts_of_a_walk_are_bounded(monkeypatch):
 def test_texts_in_few_files_are_dealt_out(spark, tmp_path):
     spark.createDataFrame([(i, "a b") for i in range(50)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
     assert fo.Trees.of_lines(spark.read.parquet(f"{tmp_path}/d")).rows.rdd.getNumPartitions() >= 4
+
+
+@pytest.mark.parametrize("name", ["canonical_paths", "strip_to_children", "invert_children", "windowed_merge", "gaps_between_words", "json_round_trip", "dumped_trees", "flagship_sections", "sub_segments"])
+def test_queries_inside_documents_shuffle_no_nodes(spark, sf_dir, name):
+    assert exchanges(QUERIES[name](spark, sf_dir)) == 0
+
+
+def test_operations_inside_documents(lines):
+    """The same on rows, on texts, and by windows over the table."""
+    docs, tree = lines
+    trees, names = fo.Trees.of_lines(docs), ["doc_id", "start", "stop", "label"]
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=repr)
+    words = tree.where("label = 'word'")
+    assert rows(sg.gaps_in_documents(trees, "word"), *names) == rows(sg.gaps(words, tree.where("pre = 0")), *names)
+    assert rows(sg.joined_windows_in_documents(tree, "word", 3, "three"), *names) == rows(sg.joined_windows(words, 3, label="three"), *names)
+    kids = tree.where("parent IS NOT NULL").select("doc_id", tree.parent.alias("pre"), "start", "stop")
+    assert rows(sg.invert_children(trees), "pre", *names) == rows(sg.gaps(kids, tree, keys=("doc_id", "pre")), "pre", *names)
+    for f in (sg.strip_to_children, sg.invert_children, sg.canonical_paths, store.to_json):
+        assert rows(f(trees), *f(trees).columns) == rows(f(tree), *f(trees).columns)
+    assert rows(store.from_json(store.to_json(trees)), *tree.columns) == rows(tree, *tree.columns)
+    by_id = {r.doc_id: r.dump for r in store.dumped(tree, docs).collect()}
+    assert by_id == {r.doc_id: r.dump for r in store.dumped(trees).collect()} and "'ccc'" in by_id[3]
+
+
+def test_complements_of_nested_and_overlapping_spans():
+    rng = random.Random(8)
+    spans = sorted((g, a, a + rng.randrange(5)) for g in range(9) for a in rng.sample(range(20), rng.randrange(6)) if g != 4)
+    rng.shuffle(spans)
+    spans.sort(key=lambda s: s[0])
+    got = list(zip(*(x.tolist() for x in fo.complements(*(np.array(x) for x in zip(*spans, strict=True)), np.zeros(9, int), np.full(9, 25))), strict=True))
+    for g in range(9):
+        free = [i for i in range(25) if not any(a <= i < b for k, a, b in spans if k == g)]
+        assert [i for k, a, b in got if k == g for i in range(a, b)] == free
+
+
+@pytest.mark.parametrize("name", ["xml_elements", "xml_attributes"])
+def test_xml_queries_join_nothing(spark, sf_dir, name):
+    assert "Join" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_dumped_lines_are_those_of_their_format(lines):
+    docs, tree = lines
+    by = {}
+    for r in tree.collect():
+        by.setdefault(r.doc_id, []).append(r.asDict())
+    got = {r.doc_id: r.dump for r in store.dumped(fo.Trees.of_lines(docs), style="tree").collect()}
+    assert sorted(got) == sorted(by)
+    for d, rows in by.items():
+        rows.sort(key=lambda r: r["pre"])
+        assert len(got[d].splitlines()) == len(rows)
+        for shown, r in zip(got[d].split("\n"), rows, strict=False):
+            assert shown.endswith(format_node(store.TREE_LINE, TEXTS[d], r["start"], r["stop"], r["label"])), shown
+            assert len(shown) - len(format_node(store.TREE_LINE, TEXTS[d], r["start"], r["stop"], r["label"])) == 3 * r["depth"]

@@ -1,9 +1,16 @@
-"""Operations on tables of segments (see ``model``), natively: windows and aggregates over doc_id."""
+"""Operations on tables of segments (see ``model``): natively, by windows and aggregates over doc_id, or on ``Trees``, inside documents."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.forest import Forest, Trees, complements, offsets, trees_of
 
 
 def sub_segment(df: DataFrame, start: int | None = None, stop: int | None = None, label: str | None = None) -> DataFrame:
@@ -82,21 +89,82 @@ def adopt(spans: DataFrame, label: str | None = None, on_overlap: str = "raise")
     return nest(top.unionByName(some.withColumn("emit_no", rank)), on_overlap)
 
 
-def children_extent(segments: DataFrame) -> DataFrame:
-    return segments.where("parent IS NOT NULL").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.min("start").alias("_a"), F.max("stop").alias("_b"))
+def strip_to_children(segments: DataFrame | Trees) -> DataFrame:
+    """Each segment shrunk to what its children cover; leaves stay."""
+    trees = trees_of(segments)
+    columns = trees.schema.names
+
+    def run(f: Forest) -> Iterator[pa.RecordBatch]:
+        kids, up = _by_parent(f)
+        start, stop = f.start.copy(), f.stop.copy()
+        if len(kids):
+            first = np.flatnonzero(np.diff(up, prepend=-1))
+            start[up[first]], stop[up[first]] = np.minimum.reduceat(f.start[kids], first), np.maximum.reduceat(f.stop[kids], first)
+        return f.rows(columns, np.arange(len(f)), {"start": start, "stop": stop})
 
+    return trees.each(run, trees.schema)
 
-def strip_to_children(segments: DataFrame) -> DataFrame:
-    """Each segment shrunk to what its children cover; leaves stay."""
-    out = segments.join(children_extent(segments), ["doc_id", "pre"], "left")
-    cut = out.withColumns({"start": F.coalesce("_a", "start"), "stop": F.coalesce("_b", "stop")})
-    return cut.select(*segments.columns)
+
+def _by_parent(f: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes whose parents are there, by parent and ``ord``, and their parents."""
+    kids = f.siblings[0]
+    up = f.up[kids]
+    return kids[up >= 0], up[up >= 0]
 
 
-def invert_children(segments: DataFrame, label: str | None = None) -> DataFrame:
+def _spans(trees: Trees, *more: str) -> T.StructType:
+    """doc_id, other columns, start, stop, label."""
+    return T.StructType([*(trees.schema[c] for c in ("doc_id", *more)), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("label", T.StringType())])
+
+
+def _labels(label: str | None, n: int) -> pa.Array:
+    return pa.array([label] * n, pa.string())
+
+
+def invert_children(segments: DataFrame | Trees, label: str | None = None) -> DataFrame:
     """doc_id, pre, start, stop, label: what the children of each segment leave of it; a leaf, all of it."""
-    kids = segments.where("parent IS NOT NULL").select("doc_id", F.col("parent").alias("pre"), "start", "stop")
-    return gaps(kids, segments.select("doc_id", "pre", "start", "stop"), label, ("doc_id", "pre"))
+    trees = trees_of(segments)
+
+    def run(f: Forest) -> Iterator[pa.RecordBatch]:
+        kids, up = _by_parent(f)
+        of, start, stop = complements(up, f.start[kids], f.stop[kids], f.start, f.stop)
+        return f.rows(["doc_id", "pre"], of, {"start": start, "stop": stop, "label": _labels(label, len(of))})
+
+    return trees.each(run, _spans(trees, "pre"))
+
+
+def gaps_in_documents(trees: DataFrame | Trees, of: str, label: str | None = None) -> DataFrame:
+    """doc_id, start, stop, label: ``gaps`` that the nodes labelled ``of`` leave of their document's root."""
+    trees = trees_of(trees)
+
+    def run(f: Forest) -> Iterator[pa.RecordBatch]:
+        some, tops = np.flatnonzero(f.is_label(of)), f.begin[:-1]
+        at, start, stop = complements(f.doc[some], f.start[some], f.stop[some], f.start[tops], f.stop[tops])
+        keep = f.pre[tops[at]] == 0
+        return f.rows(["doc_id"], tops[at[keep]], {"start": start[keep], "stop": stop[keep], "label": _labels(label, int(keep.sum()))})
+
+    return trees.each(run, _spans(trees))
+
+
+def joined_windows_in_documents(trees: DataFrame | Trees, of: str, size: int, label: str | None = None) -> DataFrame:
+    """doc_id, start, stop, label: ``joined_windows`` of the nodes labelled ``of`` of each document."""
+    if size < 2:
+        raise ValueError("a window has two rows at least")
+    trees = trees_of(trees)
+
+    def run(f: Forest) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(f.is_label(of))
+        if not len(at):
+            return iter(())
+        at = at[np.lexsort((f.start[at], f.doc[at]))]
+        k, n = offsets(f.doc[at]), np.bincount(f.doc[at], minlength=len(f.ids))[f.doc[at]]
+        full = (k // size + 1) * size <= n
+        first = np.flatnonzero(~full | (k % size == 0))
+        stop = np.maximum.reduceat(f.stop[at], first)
+        labels = pa.array(np.where(full[first], 0, 1)).cast(pa.int8())
+        return f.rows(["doc_id"], at[first], {"start": f.start[at[first]], "stop": stop, "label": pa.DictionaryArray.from_arrays(labels, pa.array([label, of], pa.string())).dictionary_decode()})
+
+    return trees.each(run, _spans(trees))
 
 
 def first_of(keys: tuple[str, ...], *options: DataFrame) -> DataFrame:
@@ -142,13 +210,18 @@ def reduced_runs(rows: DataFrame, begins: Column, ends: Column | None = None, ke
     return done.select(*keys, "start", "stop", F.when(F.col("_in"), F.lit(label).cast("string")).otherwise(F.col("_label")).alias("label"))
 
 
-def canonical_paths(segments: DataFrame) -> DataFrame:
+def canonical_paths(segments: DataFrame | Trees) -> DataFrame:
     """doc_id, pre, path: from the root, "." for it and ``/*[i:k]`` for each step down, k the place among siblings."""
-    up = segments.select("doc_id", F.col("pre").alias("_up"), F.col("last").alias("_last"), F.col("ord").alias("_ord"), F.col("depth").alias("_depth"))
-    own = segments.select("doc_id", "pre")
-    pairs = own.join(up, (own["doc_id"] == up["doc_id"]) & (F.col("_up") <= F.col("pre")) & (F.col("_last") >= F.col("pre"))).select(own["doc_id"], "pre", "_depth", "_ord")
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("_depth", "_ord"))), lambda x: F.when(x["_depth"] == 0, F.lit(".")).otherwise(F.concat(F.lit("*[i:"), x["_ord"].cast("string"), F.lit("]"))))
-    return pairs.groupBy("doc_id", "pre").agg(F.array_join(steps, "/").alias("path"))
+    trees = trees_of(segments)
+
+    def run(f: Forest) -> Iterator[pa.RecordBatch]:
+        paths: list[str] = []
+        for up, depth, place in zip(f.above.tolist(), f.depth.tolist(), f.ord.tolist(), strict=True):
+            own = f"*[i:{place}]" if depth else "."
+            paths.append(own if up < 0 else f"{paths[up]}/{own}")
+        return f.rows(["doc_id", "pre"], np.arange(len(f)), {"path": pa.array(paths, pa.string())})
+
+    return trees.each(run, T.StructType([trees.schema["doc_id"], trees.schema["pre"], T.StructField("path", T.StringType())]))
 
 
 def descends_from(pre: Column, ancestor_pre: Column, ancestor_last: Column) -> Column:

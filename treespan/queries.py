@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from . import model
 from .functions import segments as sg
 from .functions import text as tx
 from .operators import nlp, packs, stages
-from .plans.forest import Trees
-from .plans.path import find_all
+from .plans.forest import Forest, Trees
+from .plans.path import find_all, parse
+from .plans.walk import Walker
 from .sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,8 +271,7 @@ def number_mentions(spark: SparkSession, folder: str) -> DataFrame:
 SELECT doc_id, prev AS start, start AS stop FROM w WHERE start > prev UNION ALL SELECT w.doc_id, w.stop, d.stop FROM w JOIN seg d ON d.doc_id = w.doc_id AND d.pre = 0 WHERE nx IS NULL AND w.stop < d.stop
 UNION ALL SELECT doc_id, start, stop FROM seg d WHERE pre = 0 AND stop > 0 AND NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = d.doc_id)""")
 def gaps_between_words(spark: SparkSession, folder: str) -> DataFrame:
-    own = tree(spark, folder)
-    return sg.gaps(own.where("label = 'word'"), own.where("pre = 0")).select("doc_id", "start", "stop")
+    return sg.gaps_in_documents(trees(spark, folder), "word").select("doc_id", "start", "stop")
 
 
 MARKS = r"""WITH p AS (SELECT conv_id, turn, length(text)::INT AS size, unnest(string_split(text, '. ')) AS w, generate_subscripts(string_split(text, '. '), 1) AS k, len(string_split(text, '. ')) AS n FROM conversations WHERE text IS NOT NULL),
@@ -306,19 +308,19 @@ def cover_words(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("strip_to_children", TREE + "SELECT s.doc_id, s.pre, coalesce(a, s.start) AS start, coalesce(b, s.stop) AS stop FROM seg s LEFT JOIN (SELECT doc_id, parent, min(start) AS a, max(stop) AS b FROM seg WHERE parent IS NOT NULL GROUP BY ALL) k ON k.doc_id = s.doc_id AND k.parent = s.pre")
 def strip_to_children(spark: SparkSession, folder: str) -> DataFrame:
-    return sg.strip_to_children(tree(spark, folder)).select("doc_id", "pre", "start", "stop")
+    return sg.strip_to_children(trees(spark, folder)).select("doc_id", "pre", "start", "stop")
 
 
 @register("invert_children", TREE + """, k AS (SELECT n.doc_id, n.parent AS pre, n.start, n.stop, lag(n.stop, 1, p.start) OVER q AS prev, lead(n.start) OVER q AS nx, p.stop AS pstop FROM seg n JOIN seg p ON p.doc_id = n.doc_id AND p.pre = n.parent WINDOW q AS (PARTITION BY n.doc_id, n.parent ORDER BY n.ord))
 SELECT doc_id, pre, prev AS start, start AS stop FROM k WHERE start > prev UNION ALL SELECT doc_id, pre, stop, pstop FROM k WHERE nx IS NULL AND pstop > stop UNION ALL SELECT doc_id, pre, start, stop FROM seg WHERE pre = last AND stop > start""")
 def invert_children(spark: SparkSession, folder: str) -> DataFrame:
-    return sg.invert_children(tree(spark, folder)).select("doc_id", "pre", "start", "stop")
+    return sg.invert_children(trees(spark, folder)).select("doc_id", "pre", "start", "stop")
 
 
 @register("windowed_merge", TREE + """SELECT doc_id, min(start) AS start, max(stop) AS stop, CASE WHEN count(*) = 3 THEN 'three' ELSE 'word' END AS label
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM seg WHERE label = 'word') GROUP BY doc_id, CASE WHEN (k // 3 + 1) * 3 <= n THEN k // 3 ELSE k + n END""")
 def windowed_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return sg.joined_windows(tree(spark, folder).where("label = 'word'"), 3, label="three").select("doc_id", "start", "stop", "label")
+    return sg.joined_windows_in_documents(trees(spark, folder), "word", 3, label="three").select("doc_id", "start", "stop", "label")
 
 
 @register("run_reduce_islands", TREE + """, li AS (SELECT *, sum(CASE WHEN length(sub) < 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, ord) AS stretch, length(sub) >= 60 AS b FROM seg WHERE label = 'line'),
@@ -339,7 +341,7 @@ def first_of_stages(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("canonical_paths", TREE + "SELECT s.doc_id, s.pre, CASE s.depth WHEN 0 THEN '.' WHEN 1 THEN './*[i:' || s.ord || ']' ELSE './*[i:' || p.ord || ']/*[i:' || s.ord || ']' END AS path FROM seg s LEFT JOIN seg p ON p.doc_id = s.doc_id AND p.pre = s.parent")
 def canonical_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return sg.canonical_paths(tree(spark, folder))
+    return sg.canonical_paths(trees(spark, folder))
 
 
 # Aggregates over trees.
@@ -405,11 +407,15 @@ def nlp_counts(spark: SparkSession, folder: str) -> DataFrame:
 @register("flagship_sections")
 def flagship_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences that mention a number and are not the first of their paragraph, with their words counted."""
-    own = nlp.segment_nlp(docs(spark, folder)).persist()  # the Python pass runs once, not at each step
-    hits = find_all("**[d:sentence] & [i:1-]{*[d:number]}", own, ordered=False).select("doc_id", "pre", "start", "stop")
-    # Words are children of their sentence.
-    words = own.where("label = 'word'").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.count("*").alias("words"))
-    return hits.join(words, ["doc_id", "pre"], "left").select("doc_id", "pre", "start", "stop", F.coalesce("words", F.lit(0)).alias("words"))
+    path = parse("**[d:sentence] & [i:1-]{*[d:number]}")
+
+    def run(f: Forest) -> Iterator[pa.RecordBatch]:
+        # Words are children of their sentence.
+        words = np.bincount(f.up[f.is_label("word") & (f.up >= 0)], minlength=len(f))
+        for part in Walker(f, {}).find(path, np.flatnonzero(f.pre == 0), False):
+            yield from f.rows(["doc_id", "pre", "start", "stop"], part.node, {"words": pa.array(words[part.node], pa.int64())})
+
+    return nlp.nlp_trees(docs(spark, folder)).each(run, "doc_id bigint, pre int, start int, stop int, words bigint")
 
 
 #: Paragraphs and sentences of texts in which every line end is doubled, with blanks between.
@@ -473,14 +479,12 @@ def order_xml(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("xml_elements", "SELECT l_orderkey AS doc_id, 'line' AS local, count(*) AS n FROM lineitem GROUP BY l_orderkey UNION ALL SELECT DISTINCT l_orderkey, 'order', 1 FROM lineitem")
 def xml_elements(spark: SparkSession, folder: str) -> DataFrame:
-    own = order_xml(spark, folder)
-    return packs.elements(packs.segment_xml(own), own).groupBy("doc_id", "local").agg(F.count("*").alias("n"))
+    return packs.elements(packs.xml_trees(order_xml(spark, folder))).groupBy("doc_id", "local").agg(F.count("*").alias("n"))
 
 
 @register("xml_attributes", "SELECT l_orderkey AS doc_id, l_linenumber::VARCHAR AS value FROM lineitem")
 def xml_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    own = order_xml(spark, folder)
-    return packs.attributes(packs.segment_xml(own), own).where("name = 'n'").select("doc_id", "value")
+    return packs.attributes(packs.xml_trees(order_xml(spark, folder))).where("name = 'n'").select("doc_id", "value")
 
 
 @register("table_rows", "SELECT o_custkey::BIGINT AS doc_id, count(*) AS n FROM orders GROUP BY o_custkey")
@@ -500,12 +504,12 @@ def formatted_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("json_round_trip", TREE + "SELECT doc_id, pre, last, parent, depth, ord, start, stop, label FROM seg")
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    return store.from_json(store.to_json(tree(spark, folder)))
+    return store.from_json(store.to_json(trees(spark, folder)))
 
 
 @register("dumped_trees")
 def dumped_trees(spark: SparkSession, folder: str) -> DataFrame:
-    return store.dumped(tree(spark, folder), docs(spark, folder), "tree")
+    return store.dumped(trees(spark, folder), style="tree")
 
 
 @register("stream_segments", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\n]+')) FROM documents) GROUP BY doc_id")
