@@ -115,8 +115,6 @@ class Walker:
             keep = f.until[node] < c[row]
         elif axis in ("<", ">"):
             keep = f.ord[node] == f.ord[c[row]] + (-1 if axis == "<" else 1)
-        elif axis == "...." or axis == "..":
-            keep = None
         return (row, node) if keep is None else (row[keep], node[keep])
 
     def step(self, step: Step, now: Found) -> Found:
